@@ -14,6 +14,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestrata.functions.shipping import ship
+
+ship(__name__)
+
 LEAF_MAP = "map<string,struct<kind:string,raw:string>>"
 
 
