@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.scalars import address_of, plain, unsigned32
+from lodestrata.functions.scalars import address_of, plain, source_key, unsigned32
 from lodestrata.llm.bpe import VOCABULARY, encode_corpus
 from lodestrata.llm.runs import collapse_runs
+from lodestrata.llm.spam import spam_pages, spam_scores
 from lodestrata.llm.topn import top_n
 from lodestrata.operators.evidence import current_rows
 from lodestrata.shared import table
@@ -56,5 +57,19 @@ def p6_ids(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFra
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text"), "text", vocabulary=vocabulary)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top_hot, p4_found, p4_runs, p6_ids)}
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", source_key(F.col("source")).alias("host"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are search keywords, bare links or tags for the greater part."""
+    return spam_pages(_pages(spark, d), "doc_id", "text", "host").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence for every document with a text."""
+    return spam_scores(_pages(spark, d), "doc_id", "text", "host").drop("host")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_top_hot, p4_found, p4_runs, p6_ids, p8_found, p8_scores)}
 SQL: dict[str, str] = {}
