@@ -12,10 +12,7 @@ A reference whose key columns are all null is never an orphan. Records may be
 live for a span of time; then a reference is an orphan unless a record of its
 key was live at the reference's own time.
 
-Hot keys: keys that hold more than 1/(4 P) of the references (P shuffle
-partitions, so there are at most 4 P of them) are salted P ways; the records
-of those keys alone are repeated for each salt. All other keys are joined
-unsalted. Nothing else is broadcast, and no row is dropped.
+Hot keys of the references are salted (see ``skew``); no row is dropped.
 """
 
 from __future__ import annotations
@@ -25,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.shared import default_partitions
+from lodestrata.operators.skew import equal, hot_keys, salted
 
 MATCHES = ("simple", "partial", "full")
 
@@ -40,30 +37,6 @@ def live_at(at: Column, since: Column, until: Column) -> Column:
     return F.coalesce(since <= at, F.lit(True)) & F.coalesce(at < until, F.lit(True))
 
 
-def hot_keys(refs: DataFrame, keys: list[str]) -> list[tuple]:
-    """Keys with more than 1/(4 P) of all rows: at most 4 P of them, whatever the input."""
-    counts = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = refs.count()
-    least = total // (4 * default_partitions(refs.sparkSession))
-    if total == 0:
-        return []
-    return [tuple(r[k] for k in keys) for r in counts.filter(F.col("__n") > F.lit(max(least, 1000))).select(*keys).collect()]
-
-
-def _salted(refs: DataFrame, records: DataFrame, keys: list[str], hot: list[tuple]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a salt that only differs from 0 for hot keys."""
-    if not hot:
-        return refs.withColumn("__salt", F.lit(0)), records.withColumn("__salt", F.lit(0))
-    spark, ways = refs.sparkSession, default_partitions(refs.sparkSession)
-    listed = spark.createDataFrame(hot, refs.select(*keys).schema).withColumn("__hot", F.lit(True))
-    others = [c for c in refs.columns if c not in keys]
-    spread = F.pmod(F.xxhash64(*others) if others else F.monotonically_increasing_id(), F.lit(ways)).cast("int")
-    left = refs.join(F.broadcast(listed), keys, "left").withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
-    right = records.join(F.broadcast(listed), keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    return left, right
-
-
 def orphan_references(
     refs: DataFrame,
     records: DataFrame,
@@ -101,9 +74,9 @@ def orphan_references(
             continue
         on = [s for i, s in enumerate(slim) if not mask >> i & 1]
         right = right_all.select(*on, *(["__since", "__until"] if timed else [])).filter(reduce(lambda a, b: a & b, [F.col(s).isNotNull() for s in on]))
-        left, right = _salted(own, right if timed else right.distinct(), on, hot_keys(own.select(*on), on))
+        left, right = salted(own, right if timed else right.distinct(), on, hot_keys(own.select(*on), on))
         left, right = left.alias("l"), right.alias("r")
-        cond = reduce(lambda a, b: a & b, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*on, "__salt"]])
+        cond = equal("l", "r", on)
         if timed:
             cond = cond & live_at(F.col(f"l.{at}"), F.col("r.__since"), F.col("r.__until"))
         parts.append(left.join(right, cond, "left_anti").select(*[F.col(f"l.{c}") for c in refs.columns]))
