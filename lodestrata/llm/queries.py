@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import address_of, plain, source_key, unsigned32
 from lodestrata.llm.bpe import VOCABULARY, encode_corpus
+from lodestrata.llm.mix import mix_sources
 from lodestrata.llm.runs import collapse_runs
 from lodestrata.llm.spam import spam_pages, spam_scores
 from lodestrata.llm.topn import top_n
@@ -57,6 +58,23 @@ def p6_ids(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFra
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text"), "text", vocabulary=vocabulary)
 
 
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", source_key(F.col("source")).alias("source"), "text")
+    sized = encode_corpus(docs, "text", "tokens", sizes_only=True)
+    mix = table(spark, d, "mix_target").withColumn("source", source_key(F.col("source")))
+    return mix_sources(sized, mix, "doc_id", "source", "tokens")
+
+
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of every mix in the order of its schedule, a row for each occurrence."""
+    return _mixed(spark, d)[0].select("mix_id", "slot", "doc_id", "source", "tokens", "round")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source in every mix."""
+    return _mixed(spark, d)[1]
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", source_key(F.col("source")).alias("host"))
 
@@ -71,5 +89,5 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam_scores(_pages(spark, d), "doc_id", "text", "host").drop("host")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top_hot, p4_found, p4_runs, p6_ids, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_top_hot, p4_found, p4_runs, p6_ids, p7_selection, p7_shares, p8_found, p8_scores)}
 SQL: dict[str, str] = {}
