@@ -1,0 +1,26 @@
+"""Schemas of the domain tables, as DDL, for readers that must not infer."""
+
+from __future__ import annotations
+
+TABLES = {
+    "function": "addr bigint, name string, lifted_lines int, ghidra_lines int, vmx128 boolean, is_import boolean, is_helper boolean, in_corpus boolean, corpus_depth int, seed boolean, subsystem_id bigint, status string, gate string, tier string, difficulty double, family_id bigint, attempts int, calls_boot bigint, calls_play bigint, calls_map bigint, hot bigint, thread_first string",
+    "xref": "caller bigint, callee bigint, callee_name string, kind string, site_line int",
+    "const_ref": "addr bigint, value bigint",
+    "symbol_evidence": "addr bigint, name string, kind string, source string, confidence double, created_at timestamp",
+    "struct": "id bigint, name string, size bigint",
+    "struct_field": "struct_id bigint, offset bigint, size int, ctype string, name string, status string, confidence double",
+    "field_evidence": "field_id bigint, function_addr bigint, access string, kind string, locator string, snippet string, confidence double, created_at timestamp",
+    "subsystem": "id bigint, name string, score double, chosen boolean, seeds array<bigint>",
+    "gate": "addr bigint, gate string, reasons array<string>, stores array<struct<line:int,base:string,ref:string,offset:bigint,size:int>>, windows array<struct<base:string,offset:bigint,len:int,line:int,needs_deref:boolean,deref:array<bigint>,untraced:string>>",
+    "port": "addr bigint, path string, status string, lint_ok boolean, build_id bigint, source string",
+    "build": "id bigint, ok boolean, artifact string, created_at timestamp",
+    "session": "id bigint, build_id bigint, profile string, trusted boolean, controls array<struct<addr:bigint,kind:string,applied:boolean>>",
+    "verdict": "session_id bigint, addr bigint, result string, compared bigint, skipped bigint, detail string",
+    "trace_call": "profile string, addr bigint, n_calls bigint, first_seq bigint, first_thread string",
+    "llm_call": "ts timestamp, provider string, model string, purpose string, input_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint, output_tokens bigint, cost_usd decimal(18,6), attempt int, outcome string",
+    "view_cache": "addr bigint, kind string, path string, tokens bigint, lines int",
+    "lesson": "key string, body string, trigger string, check_name string",
+    "run": "stage string, inputs_hash string, ok boolean, started timestamp, outputs string",
+    "meta": "key string, value string",
+    "target": "id bigint, name string, base_addr bigint, ptr_size int, endian string, sha256 string",
+}
