@@ -152,12 +152,13 @@ def community_summary(edges: DataFrame, labels: DataFrame, a: str, b: str, least
     return s.withColumn("cohesion", F.coalesce(F.try_divide(F.col("internal").cast("double"), (F.col("internal") + F.col("external")).cast("double")), F.lit(0.0)))
 
 
-def saturating_score(terms: dict[str, tuple[float, float]]) -> Column:
-    """Sum of weight times min(1, value / saturation) over columns, nulls as 0, capped at 1, rounded to 3 digits."""
+def saturating_score(terms: dict[str, tuple[float, float]], digits: int | None = 3) -> Column:
+    """Sum of weight times min(1, value / saturation) over columns, nulls as 0, capped at 1, rounded."""
     total = F.lit(0.0)
     for name, (weight, top) in terms.items():
         total = total + F.lit(weight) * F.least(F.lit(1.0), F.coalesce(F.col(name).cast("double"), F.lit(0.0)) / F.lit(top))
-    return F.round(F.least(F.lit(1.0), total), 3)
+    capped = F.least(F.lit(1.0), total)
+    return capped if digits is None else F.round(capped, digits)
 
 
 def number_in_order(df: DataFrame, order: str, out: str, start: int = 1) -> DataFrame:

@@ -122,3 +122,11 @@ def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_usage, p1_casts, p3_found, p3_periods, p5_found, p5_texts, p5_costs, p5_addresses, p5_nodes)}
+
+_RECORDS = "cur AS (SELECT addr & 4294967295 AS a, arg_max(imported_at, updated_at) AS since, max(updated_at) AS v FROM guest_function GROUP BY 1), ret AS (SELECT DISTINCT addr & 4294967295 AS a, retired_at AS until, updated_at AS v FROM guest_function), live AS (SELECT a, since, until FROM cur JOIN ret USING (a, v))"
+_REFS = "refs AS (SELECT 'xref' AS ref_table, xref_id AS ref_id, callee & 4294967295 AS a, noted_at AS ts FROM xref UNION ALL SELECT 'field_evidence', id, function_addr & 4294967295, created_at FROM field_evidence UNION ALL SELECT 'port', port_id, addr & 4294967295, updated_at FROM port)"
+_ORPHANS = f"WITH {_RECORDS}, {_REFS}, orph AS (SELECT DISTINCT ref_table, ref_id, refs.a, ts, CASE WHEN live.a IS NULL THEN 'missing' WHEN since > ts THEN 'early' ELSE 'deleted' END AS reason FROM refs LEFT JOIN live USING (a) WHERE refs.a IS NOT NULL AND refs.a <> 0 AND refs.a NOT IN (SELECT addr & 4294967295 FROM runtime_symbol) AND (live.a IS NULL OR since > ts OR until <= ts))"
+SQL = {
+    "p3_found": f"{_ORPHANS} SELECT DISTINCT ref_table, ref_id FROM orph",
+    "p3_periods": f"{_ORPHANS} SELECT ref_table, strftime(ts, '%Y-%m') AS period, reason, count(*) AS n_orphans FROM orph GROUP BY ALL",
+}
