@@ -90,4 +90,15 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_top_hot, p4_found, p4_runs, p6_ids, p7_selection, p7_shares, p8_found, p8_scores)}
-SQL: dict[str, str] = {}
+_CURRENT = "cur AS (SELECT a, s, regexp_replace(upper(t), '\\s', '', 'g') AS t, h FROM (SELECT addr & 4294967295 AS a, subsystem_id AS s, tier AS t, hot AS h, retired_at AS r FROM guest_function QUALIFY row_number() OVER (PARTITION BY addr & 4294967295 ORDER BY updated_at DESC) = 1) WHERE r IS NULL AND s IS NOT NULL AND h IS NOT NULL)"
+_TOP = f"WITH {_CURRENT} SELECT s AS subsystem_id, t AS tier, a AS addr, h AS hot FROM cur WHERE t IN ('A', 'B', 'C', 'D', 'E', 'F', 'L', 'U') QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY h DESC, a) <= 10"
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_RUNS = f"""WITH n AS (SELECT capture_id, seq, thread, min(addr) AS addr, min(cycles) AS cycles FROM (SELECT capture_id, seq, nullif(lower(trim(thread, {_BLANKS})), '') AS thread, CASE WHEN regexp_full_match(s, '(0x|sub_)?[0-9a-f]{{8}}') THEN ('0x' || right(s, 8))::BIGINT END AS addr, cycles FROM (SELECT *, lower(trim(function, {_BLANKS})) AS s FROM trace)) WHERE thread IS NOT NULL GROUP BY ALL),
+ l AS (SELECT *, lag(addr) OVER (PARTITION BY capture_id, thread ORDER BY seq) AS p FROM n), g AS (SELECT *, sum(CASE WHEN addr = p THEN 0 ELSE 1 END) OVER (PARTITION BY capture_id, thread ORDER BY seq) AS g FROM l)
+ SELECT capture_id, thread, min(addr) AS addr, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_events, max(cycles) - min(cycles) AS duration_cycles FROM g WHERE addr IS NOT NULL GROUP BY capture_id, thread, g HAVING count(*) > 1"""
+SQL: dict[str, str] = {
+    "p2_found": f"SELECT subsystem_id, tier, addr FROM ({_TOP})",
+    "p2_top_hot": _TOP,
+    "p4_found": f"SELECT capture_id, thread, first_seq, last_seq FROM ({_RUNS})",
+    "p4_runs": _RUNS,
+}
