@@ -19,13 +19,13 @@ SALT = "__salt"
 
 
 def hot_keys(df: DataFrame, keys: list[str], least: int = 50_000) -> list[tuple]:
-    """Keys with more than 1/(4 P) of all rows, and more than ``least``; counted before the shuffle."""
+    """Keys with more than 1/(4 P) of all rows, where there are more than ``least``; counted before the shuffle."""
     ways = 4 * default_partitions(df.sparkSession)
     total = df.count()
     if total <= least:  # all rows together are no burden to one task
         return []
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return [tuple(r[k] for k in keys) for r in counts.filter(F.col("__n") > F.lit(max(total // ways, least))).select(*keys).collect()]
+    return [tuple(r[k] for k in keys) for r in counts.filter(F.col("__n") > F.lit(total // ways)).select(*keys).collect()]
 
 
 def salted(left: DataFrame, right: DataFrame, keys: list[str], hot: list[tuple]) -> tuple[DataFrame, DataFrame]:
