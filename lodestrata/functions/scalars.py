@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 BLANKS = " \t\r\n\x0b\x0c"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for a row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def outer_trim(c: Column) -> Column:
     """Text without outer blanks; null stays null."""
     return F.btrim(c, F.lit(BLANKS))
@@ -72,9 +77,10 @@ def token_estimate(text: Column, ratio: float = 3.1) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text; a final line end adds no empty line."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r")
-    n = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(parts)
+    def without_last(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+
+    return let(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), without_last)
 
 
 def share(part: Column, whole: Column, digits: int = 3) -> Column:

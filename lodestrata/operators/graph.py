@@ -74,11 +74,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     nodes, nodes_at = store(raw.select(F.col("u").alias("node")).unionAll(raw.select("v")).distinct(), "nodes")
     arcs, at = store(raw.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
 
-    def stars(pairs: DataFrame, whole: bool) -> DataFrame:
-        """One star round; ``whole`` looks both ways and moves the larger neighbours."""
+    def stars(pairs: DataFrame, n: int, whole: bool) -> DataFrame:
+        """One star round over about ``n`` arcs; ``whole`` looks both ways and moves the larger neighbours."""
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if whole else pairs
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        left, right = salted(both, least, ["u"], hot_keys(both, ["u"]))
+        left, right = salted(both, least, ["u"], hot_keys(both, ["u"], total=n))
         j = left.join(right, ["u", SALT])
         moved = j.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if whole else j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(j.select("u", F.col("m").alias("v")))
         return moved.filter("u <> v").distinct()
@@ -89,8 +89,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     before = mark(arcs)
     while before[0]:
-        large, large_at = store(stars(arcs, True), "stars")
-        small, small_at = store(stars(large, False), "stars")
+        large, large_at = store(stars(arcs, 2 * before[0], True), "stars")
+        small, small_at = store(stars(large, before[0], False), "stars")
         now = mark(small)
         discard(spark, at, large_at)
         arcs, at = small, small_at
@@ -112,22 +112,20 @@ def propagate_labels(edges: DataFrame, a: str, b: str, half, rounds: int = 12) -
     both = raw.select(F.col(a).alias("node"), F.col(b).alias("other")).unionAll(raw.select(F.col(b).alias("node"), F.col(a).alias("other")))
     arcs, _ = store(both.groupBy("node", "other").agg(F.count(F.lit(1)).alias("n")), "arcs")
     hot = hot_keys(arcs, ["other"])
-    labels, at = store(arcs.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    labels, at = store(arcs.select("node").distinct().withColumn("label", F.col("node")).withColumn("moved", F.lit(False)), "labels")
     steady = False
     for _ in range(rounds):
-        changed = 0
         for side in (True, False):
             mine = half(F.col("node")) == F.lit(side)
             left, right = salted(arcs.filter(mine), labels.select(F.col("node").alias("other"), "label"), ["other"], hot)
             votes = left.join(right, ["other", SALT]).select("node", "label", "n").unionAll(labels.filter(mine).select("node", "label", F.lit(1).cast("bigint")))
             tally = votes.groupBy("node", "label").agg(F.sum("n").alias("n"))
             best = tally.groupBy("node").agg(F.max(F.struct(F.col("n"), (-F.col("label")).alias("low"))).alias("x")).select("node", (-F.col("x.low")).alias("next"))
-            following = labels.join(best, "node", "left").select("node", F.coalesce("next", "label").alias("label"), F.coalesce(F.col("next") != F.col("label"), F.lit(False)).alias("moved"))
+            following = labels.join(best, "node", "left").select("node", F.coalesce("next", "label").alias("label"), (F.coalesce(F.col("next") != F.col("label"), F.lit(False)) | (F.lit(not side) & F.col("moved"))).alias("moved"))
             new, new_at = store(following, "labels")
-            changed += new.filter("moved").count()
             discard(edges.sparkSession, at)
-            labels, at = new.drop("moved"), new_at
-        if not changed:
+            labels, at = new, new_at
+        if not labels.filter("moved").limit(1).count():
             steady = True
             break
     return labels.select("node", "label", F.lit(steady).alias("converged"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.scalars import let
 from lodestrata.operators.graph import components, number_in_order
 from lodestrata.operators.skew import skew_join
 from lodestrata.shared import store
@@ -39,23 +40,23 @@ def base_hash(shingle: Column) -> Column:
 
 def minhash(shingles: Column, hashes: int = HASHES, mode: str = "fast") -> Column:
     """The least of each of ``hashes`` permutations; zeros for no shingles."""
+    rows = F.sequence(F.lit(0), F.lit(hashes - 1))
     if mode == "fast":
-        return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.coalesce(F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, i))), F.lit(0).cast("bigint")))
-    bases = F.transform(shingles, base_hash)
-    big = lambda c: c.cast("decimal(38,0)")
+        return let(shingles, lambda all_: F.transform(rows, lambda i: F.coalesce(F.array_min(F.transform(all_, lambda s: F.xxhash64(s, i))), F.lit(0).cast("bigint"))))
+    wide = "decimal(38,0)"
 
-    def row(i: Column) -> Column:
-        odd, shift = big(i * 2 + 1), big(i) * F.lit(STEP).cast("decimal(20,0)")
-        least = F.array_min(F.transform(bases, lambda h: F.pmod((h * odd.cast("decimal(4,0)")).cast("decimal(38,0)") + shift.cast("decimal(38,0)"), F.lit(MODULUS).cast("decimal(38,0)")).cast("decimal(20,0)")))
-        return F.coalesce(least, F.lit(0).cast("decimal(20,0)"))
+    def row(bases: Column, i: Column) -> Column:
+        odd, shift = (i * 2 + 1).cast("decimal(4,0)"), i.cast("decimal(4,0)") * F.lit(STEP).cast("decimal(20,0)")
+        moved = F.transform(bases, lambda h: F.pmod((h * odd).cast(wide) + shift.cast(wide), F.lit(MODULUS).cast(wide)).cast("decimal(20,0)"))
+        return F.coalesce(F.array_min(moved), F.lit(0).cast("decimal(20,0)"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), row)
+    return let(F.transform(shingles, base_hash), lambda bases: F.transform(rows, lambda i: row(bases, i)))
 
 
 def buckets(signature: Column, hashes: int = HASHES, bands: int = BANDS) -> Column:
     """The bucket key of each band: its number and its rows."""
     rows = hashes // bands
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.concat_ws(":", b.cast("string"), F.array_join(F.slice(signature, b * rows + 1, F.lit(rows)).cast("array<string>"), ",")))
+    return let(signature.cast("array<string>"), lambda sig: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.concat_ws(":", b.cast("string"), F.array_join(F.slice(sig, b * rows + 1, F.lit(rows)), ","))))
 
 
 def jaccard_estimate(a: Column, b: Column) -> Column:

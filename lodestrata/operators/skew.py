@@ -18,10 +18,12 @@ from lodestrata.shared import default_partitions
 SALT = "__salt"
 
 
-def hot_keys(df: DataFrame, keys: list[str], least: int = 50_000) -> list[tuple]:
-    """Keys with more than 1/(4 P) of all rows, where there are more than ``least``; counted before the shuffle."""
+def hot_keys(df: DataFrame, keys: list[str], least: int = 50_000, total: int | None = None) -> list[tuple]:
+    """Keys with more than 1/(4 P) of all rows, where there are more than ``least``.
+
+    ``total`` is the number of rows, or a bound of it, where it is known."""
     ways = 4 * default_partitions(df.sparkSession)
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= least:  # all rows together are no burden to one task
         return []
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.functions.scalars import split_lines, token_estimate
+from lodestrata.functions.scalars import let, split_lines, token_estimate
 
 #: Spelling of decompiler types by width.
 WIDTH_TYPES = {"undefined8": "u64", "undefined4": "u32", "undefined2": "u16", "undefined1": "u8", "undefined": "u8", "ulonglong": "u64", "longlong": "s64", "uint": "u32", "ushort": "u16", "uchar": "u8", "byte": "u8"}
@@ -49,11 +49,14 @@ def unresolved_branch(text: Column) -> Column:
 
 def elide(text: Column, most: int) -> Column:
     """At most ``most`` lines: the head two thirds, one mark of what is left out, the tail."""
-    ls = split_lines(text)
     head = 2 * (most - 1) // 3
     tail = most - 1 - head
-    mark = F.format_string("... %d lines elided ...", F.size(ls) - head - tail)
-    return F.when(F.size(ls) <= most, F.array_join(ls, "\n")).otherwise(F.array_join(F.concat(F.slice(ls, F.lit(1), F.lit(head)), F.array(mark), F.slice(ls, F.size(ls) - tail + 1, F.lit(tail))), "\n"))
+
+    def cut(ls: Column) -> Column:
+        mark = F.format_string("... %d lines elided ...", F.size(ls) - head - tail)
+        return F.when(F.size(ls) <= most, ls).otherwise(F.concat(F.slice(ls, F.lit(1), F.lit(head)), F.array(mark), F.slice(ls, F.size(ls) - tail + 1, F.lit(tail))))
+
+    return F.array_join(let(split_lines(text), cut), "\n")
 
 
 def summary(text: Column, enough: int = 260, most: int = 300) -> Column:
