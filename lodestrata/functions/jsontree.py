@@ -69,9 +69,10 @@ def with_leaf_map(df: DataFrame, body: str, root: str, out: str = "leaves") -> D
     """Append the path-value map of the object at top-level key ``root``.
 
     The map is null where the body is unreadable or has no object there, and
-    empty where that object is empty. The body column is dropped.
+    empty where that object is empty. The body column is dropped, and so is a
+    column already named ``out``.
     """
-    keep = [c for c in df.columns if c != body]
+    keep = [c for c in df.columns if c not in (body, out)]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +90,7 @@ def with_leaf_map(df: DataFrame, body: str, root: str, out: str = "leaves") -> D
             maps = pa.MapArray.from_arrays(marks, pa.array(paths, pa.string()), items)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in keep), maps], [*keep, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != body)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
     return df.mapInArrow(walk, f"{fields}, `{out}` {LEAF_MAP}")
 
 
@@ -117,12 +118,16 @@ def nodes_of(value, roots: tuple[str, ...], decode: tuple[str, ...]) -> Iterator
             stack.extend([(label + [i], keys + ["[]"], x) for i, x in enumerate(v)][::-1])
 
 
+NODE_NAMES = ("label", "keys", "kind", "raw", "parent", "schema_path", "name")
 NODE_COLUMNS = "label array<int>, keys array<string>, kind string, raw string"
 
 
 def explode_nodes(df: DataFrame, body: str, roots: tuple[str, ...] = (), decode: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each node of each readable record, beside the other columns of ``df``."""
-    keep = [c for c in df.columns if c != body]
+    """One row for each node of each readable record, beside the other columns of ``df``.
+
+    Columns of ``df`` that bear the name of a node column are left out.
+    """
+    keep = [c for c in df.columns if c not in (body, *NODE_NAMES)]
     step = 20_000
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,5 +148,5 @@ def explode_nodes(df: DataFrame, body: str, roots: tuple[str, ...] = (), decode:
                             x.clear()
             yield flush()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != body)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
     return df.mapInArrow(walk, f"{fields}, {NODE_COLUMNS}")

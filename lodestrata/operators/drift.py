@@ -104,7 +104,7 @@ def typed_columns(maps: DataFrame, figures: dict[str, str], target: str = "bigin
     figure in a record the first by path that is not null counts. A text is
     cast, a list of one number is that number; anything else that is not
     null is null in the column and listed in ``failed_casts`` with its path,
-    kind and raw value.
+    kind and raw value. Columns of ``maps`` that bear a new column's name go.
     """
     cell = lambda e: e["value"]
     raw_number = lambda v: F.when(v["kind"] == "list", F.regexp_extract(v["raw"], r"^\[\s*\"?([-+0-9.eE]+)\"?\s*\]$", 1)).otherwise(F.trim(v["raw"]))
@@ -123,4 +123,5 @@ def typed_columns(maps: DataFrame, figures: dict[str, str], target: str = "bigin
 
     cols = [first_of(figure).alias(name) for name, figure in figures.items()]
     failed = F.transform(F.filter("__cells", lambda c: c["figure"].isin(*figures.values()) & c["n"].isNull()), lambda c: F.struct(c["path"].alias("path"), c["kind"].alias("kind"), c["raw"].alias("raw")))
-    return df.select(*[c for c in maps.columns if c != leaves], *cols, failed.alias("failed_casts"))
+    others = [c for c in maps.columns if c not in (leaves, "failed_casts", *figures)]
+    return df.select(*others, *cols, failed.alias("failed_casts"))

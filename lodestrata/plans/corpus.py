@@ -124,7 +124,10 @@ def closure_stopped(spark, d):
     return graph.stop_counts(edges(spark, d), reached(spark, d), "caller", "callee", "kind", ("helper", "import", "indirect"), 3)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EDGE}, ab AS MATERIALIZED (SELECT caller AS a, callee AS b FROM de UNION SELECT callee, caller FROM de),
+ cc(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM ab UNION (SELECT ab.a, min(o.root) FROM recurring.cc o JOIN ab ON ab.b = o.node JOIN recurring.cc m ON m.node = ab.a WHERE o.root < m.root GROUP BY ab.a)) SELECT node, root FROM cc"""
+)
 def components(spark, d):
     return graph.components(direct(spark, d), "caller", "callee")
 
@@ -507,7 +510,16 @@ def failure_streak(spark, d):
     return ledger.streaks(r, ["feed"], ["file_no", "line_no", "event_id"], failed, 2)
 
 
-@query()
+def _text(path: str) -> str:
+    return f"json_extract_string(body, '$.{path}')"
+
+
+@query(
+    f"""WITH {TURN}, x AS (SELECT feed, file_no, line_no AS o, {_text('type')} AS t, {_text('model')} AS model, {_text('session_id')} AS session_id, {_fig('input_tokens')} AS i, {_fig('cache_read_input_tokens')} AS r, {_fig('cache_creation_input_tokens')} AS w, {_fig('output_tokens')} AS n,
+ TRY_CAST({_text('total_cost_usd')} AS DECIMAL(18, 6))::DOUBLE AS cost, {_text('is_error')} = 'true' AS bad FROM ok WHERE provider = 'claude'),
+ a AS (SELECT * FROM x WHERE t = 'system' QUALIFY row_number() OVER (PARTITION BY feed, file_no ORDER BY o) = 1), z AS (SELECT * FROM x WHERE t = 'result' QUALIFY row_number() OVER (PARTITION BY feed, file_no ORDER BY o DESC) = 1)
+ SELECT f.feed, f.file_no, a.model, a.session_id, z.i AS input_tokens, z.r AS cache_read_tokens, z.w AS cache_write_tokens, z.n AS output_tokens, z.cost AS cost_usd, z.bad AS failed FROM (SELECT DISTINCT feed, file_no FROM x) f LEFT JOIN a USING (feed, file_no) LEFT JOIN z USING (feed, file_no)"""
+)
 def session_usage(spark, d):
     return events.session_usage(readable(spark, d).filter("provider = 'claude'"), ["feed", "file_no"], "line_no").withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
@@ -529,7 +541,7 @@ def folded(spark, d):
     return verdicts.fold_log(log_events(spark, d), "doc_id")
 
 
-LOG = r"""ln AS (SELECT doc_id, trim(unnest(l)) AS line, unnest(range(len(l))) AS n FROM (SELECT DISTINCT doc_id, string_split_regex(text, '\r\n|\n|\r') AS l FROM documents WHERE text IS NOT NULL)),
+LOG = r"""ln AS (SELECT doc_id, trim(unnest(l), ' ') AS line, unnest(range(len(l))) AS n FROM (SELECT DISTINCT doc_id, string_split_regex(text, '\r\n|\n|\r') AS l FROM documents WHERE text IS NOT NULL)),
  ev AS (SELECT doc_id, n, line, TRY_CAST('0x' || nullif(regexp_extract(line, '(?i)\bsub_([0-9a-f]{8})\b', 1), '') AS BIGINT) AS addr, TRY_CAST(nullif(regexp_extract(line, '(?i)\bsub_[0-9a-f]{8}\b.*?compared[=: ]+(\d+).*?skipped[=: ]+(\d+)', 1), '') AS BIGINT) AS compared,
  TRY_CAST(nullif(regexp_extract(line, '(?i)\bsub_[0-9a-f]{8}\b.*?compared[=: ]+(\d+).*?skipped[=: ]+(\d+)', 2), '') AS BIGINT) AS skipped,
  CASE WHEN regexp_matches(line, '(?i)\bsub_[0-9a-f]{8}\b.*?\bdiverge\w*\b') THEN 'diverged' WHEN regexp_matches(line, '(?i)\bsub_[0-9a-f]{8}\b.*?\boverflow\b') THEN 'overflow' WHEN regexp_matches(line, '(?i)\bsub_[0-9a-f]{8}\b.*?\b(?:clean|verified|no divergence)\b') THEN 'clean' END AS event FROM ln),
@@ -603,12 +615,23 @@ def elide_middle(spark, d):
     return documents(spark, d).select("doc_id", text.elide(F.col("text"), 12).alias("view"))
 
 
-@query()
+TEXT_LINES = "ll AS (SELECT doc_id, text, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, text, string_split_regex(coalesce(text, ''), '\\r\\n|\\n|\\r') AS l FROM documents))"
+
+
+@query(
+    f"""WITH {TEXT_LINES}, x AS (SELECT doc_id, trim(unnest(l), ' ') AS t, unnest(range(len(l))) AS n FROM ll), f AS (SELECT doc_id, min(n) AS stop FROM x WHERE starts_with(t, '```') GROUP BY 1),
+ k AS (SELECT x.doc_id, n, t, sum(len(t) + 1) OVER (PARTITION BY x.doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS before FROM x LEFT JOIN f USING (doc_id) WHERE t <> '' AND NOT starts_with(t, '#') AND (stop IS NULL OR n < stop))
+ SELECT d.doc_id, coalesce(left(string_agg(k.t, ' ' ORDER BY k.n), 300), '') AS note FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND (before IS NULL OR before <= 260) GROUP BY d.doc_id"""
+)
 def note_summaries(spark, d):
     return documents(spark, d).select("doc_id", text.summary(F.col("text")).alias("note"))
 
 
-@query()
+@query(
+    f"""WITH {TEXT_LINES}, c AS (SELECT doc_id, text, l, list_filter(CASE WHEN len(l) > 0 THEN [ltrim(l[1], ' ')] || l[2:] ELSE l END, lambda x: trim(x, ' ') <> '' AND NOT regexp_matches(trim(x, ' '), '^(?:/[/*]|\\*)'))[1] AS head FROM ll WHERE text LIKE '%undefined8%')
+ SELECT doc_id, CASE WHEN regexp_matches(head, '^[A-Za-z_][\\w\\s*]*\\w\\s*\\([^;]*\\)?\\s*\\{{?\\s*$') THEN trim(head, ' ') ELSE '' END AS signature, trim(text, ' ') <> '' AND text NOT LIKE '%halt_baddata%' AS usable,
+ len(list_filter(l, lambda x: trim(x, ' ') <> '' AND NOT (regexp_matches(x, '{text.DECLARATION}') AND NOT regexp_matches(x, '^\\s*(?:return|goto)\\b'))))::INT AS n_lines FROM c"""
+)
 def c_views(spark, d):
     t = F.col("text")
     c = documents(spark, d).filter(t.contains("undefined8"))
@@ -620,3 +643,12 @@ def packet_views(spark, d):
     f = functions(spark, d).select("addr", "name", F.col("lifted_lines").alias("lines"), "tier")
     bodies = listings(spark, d).groupBy("addr").agg(F.min("body").alias("body"))
     return text.packets(f, edges(spark, d), bodies, "addr", 400).select("addr", "packet", "tokens", F.size("dropped").alias("n_dropped"))
+
+
+@query()
+def answer_records(spark, d):
+    from lodestrata.operators import answers
+
+    rows = readable(spark, d).filter("provider = 'claude'").select("event_id", F.get_json_object("body", "$.structured_output").alias("payload"))
+    a = answers.answers(rows.filter("payload is not null"), "event_id", "payload")
+    return a.select("event_id", "pos", "addr", F.size("windows").alias("n_windows"), F.get(F.transform("windows", answers.address_expression), F.lit(0)).alias("first_window"))

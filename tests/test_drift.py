@@ -73,3 +73,12 @@ def test_leaves_of_deep_objects():
         deep = {"k": deep}
     assert leaves(deep, "u") == [("u" + ".k" * 500, "integer", "1")]
     assert leaves({"s": "\ud800"}, "u") == [("u.s", "string", "?")]
+
+
+def test_clashing_columns_and_nulls(spark):
+    rows = [(None, "a", 1, 9, '{"usage": {"input_tokens": 3}}'), (2, None, None, 9, None), (3, "a", 2, 9, '{"usage": [1]}'), (3, "a", 2, 9, '{"usage": [1]}')]
+    df = spark.createDataFrame(rows, "event_id int, feed string, file_no int, leaves int, body string")
+    m = with_leaf_map(df, "body", "usage")
+    assert changes(m) == [("a", 2, "usage.input_tokens", "removed")]
+    got = drift.typed_columns(m.withColumnRenamed("file_no", "tokens"), {"tokens": "input"}).collect()
+    assert sorted(r.tokens or 0 for r in got) == [0, 0, 0, 3]
