@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application, without a trailing slash."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodestrata-"))
     return f"{root.rstrip('/')}/lodestrata-{spark.sparkContext.applicationId}"
