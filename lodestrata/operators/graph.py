@@ -171,3 +171,12 @@ def number_in_order(df: DataFrame, order: str, out: str, start: int = 1) -> Data
     base = counts.select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
     local = kept.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(order)))
     return local.join(F.broadcast(base), "__p").withColumn(out, F.col("__base") + F.col("__r") + F.lit(start - 1)).drop("__p", "__r", "__base")
+
+
+def seed_list(lines: DataFrame, text: str) -> DataFrame:
+    """Distinct addresses of seed lines: ``#`` comments go, tokens are split at blanks and commas, unreadable ones are dropped."""
+    from lodestrata.functions.scalars import address_of
+
+    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "#.*$", "")
+    tokens = lines.select(F.explode(F.split(bare, r"[\s,]+")).alias("t"))
+    return tokens.select(address_of(F.col("t")).alias("node")).filter("node is not null").distinct()

@@ -53,3 +53,8 @@ def test_first_match(spark):
     df = spark.createDataFrame([(None,), (1,), (2,)], "x int")
     got = [r[0] for r in df.select(census.first_match([("one", F.col("x") == 1), ("some", F.col("x") > 0)], "none")).collect()]
     assert got == ["none", "one", "some"]
+
+
+def test_breakdown(spark):
+    df = spark.createDataFrame([(1, "entry"), (1, "derived"), (1, "entry")], "id long, base string")
+    assert [tuple(r) for r in census.breakdown(df, "id", "base").collect()] == [(1, "3 (derived:1,entry:2)")]

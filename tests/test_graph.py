@@ -63,3 +63,8 @@ def test_number_in_order(spark):
     df = spark.range(500).selectExpr("(id * 37) % 1000 as x")
     got = sorted((r.n, r.x) for r in graph.number_in_order(df, "x", "n").collect())
     assert [n for n, _ in got] == list(range(1, 501)) and [x for _, x in got] == sorted(x for _, x in got)
+
+
+def test_seed_list(spark):
+    df = spark.createDataFrame([("sub_82000000, 0x82000004 # 82000008",), ("bad 82000000",), (None,), ("",)], "t string")
+    assert sorted(r.node - 0x82000000 for r in graph.seed_list(df, "t").collect()) == [0, 4]
