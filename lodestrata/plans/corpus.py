@@ -175,7 +175,7 @@ def subsystem_rank(spark, d):
     return f.groupBy("subsystem_id").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("name").startswith("sub_")).alias("n_named"), F.coalesce(F.max("hot"), F.lit(0)).alias("max_hot"))
 
 
-@query(f"WITH {CUR}, {EDGE}, g AS (SELECT callee, count(*) AS degree FROM de GROUP BY 1) SELECT subsystem_id, addr, degree, rank FROM (SELECT subsystem_id, addr, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY subsystem_id ORDER BY coalesce(degree, 0) DESC, addr) AS rank FROM cur LEFT JOIN g ON callee = addr WHERE subsystem_id IS NOT NULL) WHERE rank <= 12")
+@query(f"WITH {CUR}, {EDGE}, g AS (SELECT callee, count(*) AS degree FROM de GROUP BY 1) SELECT subsystem_id, addr, degree, rank FROM (SELECT subsystem_id, addr, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY subsystem_id ORDER BY coalesce(degree, 0) DESC, addr)::INT AS rank FROM cur LEFT JOIN g ON callee = addr WHERE subsystem_id IS NOT NULL) WHERE rank <= 12")
 def subsystem_seeds(spark, d):
     g = graph.degrees(direct(spark, d).withColumnRenamed("callee", "addr"), "addr")
     f = functions(spark, d).filter("subsystem_id is not null").select("subsystem_id", "addr").join(g, "addr", "left").select("subsystem_id", "addr", F.coalesce("degree", F.lit(0)).alias("degree"))
