@@ -122,9 +122,12 @@ NODE_NAMES = ("label", "keys", "kind", "raw", "parent", "schema_path", "name")
 NODE_COLUMNS = "label array<int>, keys array<string>, kind string, raw string"
 
 
-def explode_nodes(df: DataFrame, body: str, roots: tuple[str, ...] = (), decode: tuple[str, ...] = ()) -> DataFrame:
+def explode_nodes(df: DataFrame, body: str, roots: tuple[str, ...] = (), decode: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> DataFrame:
     """One row for each node of each readable record, beside the other columns of ``df``.
 
+    With ``names`` only nodes whose last key is one of them are given out;
+    labels stay those of the whole record.
+
     Columns of ``df`` that bear the name of a node column are left out.
     """
     keep = [c for c in df.columns if c not in (body, *NODE_NAMES)]
@@ -140,8 +143,10 @@ def explode_nodes(df: DataFrame, body: str, roots: tuple[str, ...] = (), decode:
                 return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)).take(at) for c in keep), *made], [*keep, "label", "keys", "kind", "raw"])
 
             for i, text in enumerate(batch.column(batch.schema.names.index(body)).to_pylist()):
-                for label, names, kind, raw in nodes_of(parse(text), roots, decode):
-                    rows.append(i), labels.append(label), keys.append([raw_of(n) for n in names]), kinds.append(kind), raws.append(raw)
+                for label, path, kind, raw in nodes_of(parse(text), roots, decode):
+                    if names and path[-1] not in names:
+                        continue
+                    rows.append(i), labels.append(label), keys.append([raw_of(n) for n in path]), kinds.append(kind), raws.append(raw)
                     if len(rows) >= step:
                         yield flush()
                         for x in (rows, labels, keys, kinds, raws):

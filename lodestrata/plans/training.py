@@ -9,7 +9,7 @@ from lodestrata.functions.jsontree import with_leaf_map
 from lodestrata.functions.scalars import plain, unsigned32
 from lodestrata.operators import drift, nested, orphans
 from lodestrata.operators.evidence import current_rows
-from lodestrata.shared import table
+from lodestrata.shared import store, table
 
 #: Figures of the usage objects that the typed table has a column for.
 FIGURES = {
@@ -83,14 +83,18 @@ def p3_periods(spark: SparkSession, d: str) -> DataFrame:
     return why.groupBy("ref_table", F.date_format("at", "yyyy-MM").alias("period"), "reason").agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
-def body_nodes(spark: SparkSession, d: str) -> DataFrame:
+#: The columns of the flat tables of texts, costs and addresses.
+CHILD_NAMES = ("type", "text", "content", "costUSD", "model", "addr")
+
+
+def body_nodes(spark: SparkSession, d: str, names: tuple[str, ...] = CHILD_NAMES) -> DataFrame:
     rows = table(spark, d, "provider_event").filter(plain(F.col("provider")) == "claude").select("event_id", "body")
-    return nested.nodes(rows, "body", ("message", "modelUsage", "structured_output"), ("structured_output",))
+    return nested.nodes(rows, "body", ("message", "modelUsage", "structured_output"), ("structured_output",), names)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts, costs and addresses of the bodies, each by its event and its place or name there."""
-    n = body_nodes(spark, d)
+    n, _ = store(body_nodes(spark, d), "nodes")
     texts = nested.text_blocks(n, "event_id").select("event_id", F.lit("text").alias("child"), F.col("item").cast("string").alias("item"))
     costs = nested.keyed_costs(n, "event_id").select("event_id", F.lit("cost").alias("child"), "item")
     addrs = nested.addresses(n, "event_id").select("event_id", F.lit("addr").alias("child"), "item")
@@ -117,7 +121,7 @@ def p5_addresses(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Nodes by schema path and kind: the tables a corpus of records falls into."""
-    n = body_nodes(spark, d).select("event_id", "label", "schema_path", "kind").distinct()
+    n = body_nodes(spark, d, ()).select("event_id", "label", "schema_path", "kind").distinct()
     return n.groupBy("schema_path", "kind").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
