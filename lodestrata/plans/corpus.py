@@ -140,6 +140,11 @@ def labels(spark, d):
     return graph.propagate_labels(direct(spark, d), "caller", "callee", half, 3).select("node", "label")
 
 
+def labels_whole(spark, d):
+    """Labels after up to 12 rounds, fewer if a round moves nothing, and whether they settled."""
+    return graph.propagate_labels(direct(spark, d), "caller", "callee", half)
+
+
 def _half_steps(rounds: int) -> str:
     parts = [EDGE, "ab AS MATERIALIZED (SELECT a, b, count(*) AS n FROM (SELECT caller AS a, callee AS b FROM de WHERE caller <> callee UNION ALL SELECT callee, caller FROM de WHERE caller <> callee) GROUP BY ALL)", "s0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS label FROM ab)"]
     for i in range(1, 2 * rounds + 1):
@@ -153,6 +158,7 @@ def _half_steps(rounds: int) -> str:
 
 
 LABELS = _half_steps(3)
+LABELS_WHOLE = _half_steps(12).removesuffix("lab AS (SELECT * FROM s24)") + "lab AS MATERIALIZED (SELECT *, NOT EXISTS (SELECT 1 FROM s24 a JOIN s22 b USING (node) WHERE a.label <> b.label) AS converged FROM s24)"
 
 
 @query(f"WITH {LABELS} SELECT node, label FROM lab")
@@ -160,6 +166,11 @@ def lpa_3rounds(spark, d):
     return labels(spark, d)
 
 
+@query(f"WITH {LABELS_WHOLE} SELECT node, label, converged FROM lab")
+def lpa_whole(spark, d):
+    return labels_whole(spark, d)
+
+
 @query(
     f"""WITH {LABELS}, z AS (SELECT label, count(*) AS size FROM lab GROUP BY 1), x AS (SELECT p.label AS la, q.label AS lb FROM de LEFT JOIN lab p ON p.node = caller LEFT JOIN lab q ON q.node = callee),
  i AS (SELECT la AS label, count(*) AS n FROM x WHERE la = lb GROUP BY 1), o AS (SELECT label, count(*) AS n FROM (SELECT la AS label FROM x WHERE la IS DISTINCT FROM lb UNION ALL SELECT lb FROM x WHERE la IS DISTINCT FROM lb) WHERE label IS NOT NULL GROUP BY 1)
@@ -169,6 +180,13 @@ def community_summary(spark, d):
     return graph.community_summary(direct(spark, d), labels(spark, d), "caller", "callee").withColumn("cohesion", F.round("cohesion", 6))
 
 
+@query(SQL["community_summary"].replace(LABELS, LABELS_WHOLE).replace(" AS cohesion FROM z", " AS cohesion, (SELECT bool_and(converged) FROM lab) AS converged FROM z"))
+def community_summary_whole(spark, d):
+    own = labels_whole(spark, d)
+    s = graph.community_summary(direct(spark, d), own, "caller", "callee").withColumn("cohesion", F.round("cohesion", 6))
+    return s.crossJoin(F.broadcast(own.select("converged").limit(1)))
+
+
 @query(f"WITH {CUR} SELECT subsystem_id, count(*) AS size, count(*) FILTER (name NOT LIKE 'sub\\_%' ESCAPE '\\') AS n_named, coalesce(max(hot), 0) AS max_hot FROM cur WHERE subsystem_id IS NOT NULL GROUP BY 1")
 def subsystem_rank(spark, d):
     f = functions(spark, d).filter("subsystem_id is not null")
@@ -184,12 +202,22 @@ def subsystem_seeds(spark, d):
 
 @query(f"WITH {CUR}, {LABELS}, n AS (SELECT label, subsystem_id, count(*) AS n FROM lab JOIN cur ON addr = node GROUP BY ALL), a AS (SELECT label, sum(n) AS size FROM n GROUP BY 1) SELECT label, subsystem_id, (n * 100 // size)::BIGINT AS percent FROM n JOIN a USING (label) WHERE subsystem_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC, subsystem_id) = 1")
 def subsystem_overlap(spark, d):
-    n = labels(spark, d).join(functions(spark, d).select(F.col("addr").alias("node"), "subsystem_id"), "node").groupBy("label", "subsystem_id").agg(F.count(F.lit(1)).alias("n"))
+    return overlap(spark, d, labels(spark, d))
+
+
+def overlap(spark, d, own):
+    n = own.join(functions(spark, d).select(F.col("addr").alias("node"), "subsystem_id"), "node").groupBy("label", "subsystem_id").agg(F.count(F.lit(1)).alias("n"))
     size = n.groupBy("label").agg(F.sum("n").alias("size"))
     best = n.filter("subsystem_id is not null").groupBy("label").agg(F.max(F.struct("n", (-F.col("subsystem_id")).alias("s"))).alias("x"))
     return best.join(size, "label").select("label", (-F.col("x.s")).alias("subsystem_id"), F.floor(F.col("x.n") * 100 / F.col("size")).alias("percent"))
 
 
+@query(SQL["subsystem_overlap"].replace(LABELS, LABELS_WHOLE).replace(" AS percent FROM", " AS percent, (SELECT bool_and(converged) FROM lab) AS converged FROM"))
+def subsystem_overlap_whole(spark, d):
+    own = labels_whole(spark, d)
+    return overlap(spark, d, own.select("node", "label")).crossJoin(F.broadcast(own.select("converged").limit(1)))
+
+
 # --- listings, similarity, census ----------------------------------------------------------------
 
 START = r"GUEST_BODY\(sub_([0-9A-Fa-f]{8})\)"
