@@ -114,6 +114,30 @@ def closure_depth(spark, d):
     return reached(spark, d)
 
 
+def runtime(spark, d):
+    """Targets of the runtime: symbols, and functions flagged import or helper."""
+    flagged = evidence.current_rows(table(spark, d, "guest_function").withColumn("addr", unsigned32(F.col("addr"))), "addr", "updated_at", ["is_import", "is_helper"]).filter("is_import or is_helper").select("addr")
+    return table(spark, d, "runtime_symbol").select(unsigned32(F.col("addr")).alias("addr")).filter("addr is not null").unionAll(flagged).distinct()
+
+
+def reached_whole(spark, d):
+    """All that the seeds reach, at any depth, over edges that have a target, are of no stopped kind and lead to no runtime target."""
+    follow = edges(spark, d).filter(F.col("callee").isNotNull() & ~F.col("kind").isin(*STOPS))
+    follow = follow.join(runtime(spark, d).select(F.col("addr").alias("callee")), "callee", "left_anti")
+    return graph.closure(follow, functions(spark, d).filter("seed").select("addr"), "caller", "callee")
+
+
+STOPS = ("helper", "import", "indirect")
+WHOLE = f"""{CUR}, {EDGE}, rt AS (SELECT addr & 4294967295 AS addr FROM runtime_symbol WHERE addr IS NOT NULL UNION SELECT addr FROM cur WHERE is_import OR is_helper),
+ fe AS MATERIALIZED (SELECT DISTINCT caller, callee FROM e WHERE callee IS NOT NULL AND kind NOT IN {STOPS} AND callee NOT IN (SELECT addr FROM rt)),
+ cl(node, depth) USING KEY (node) AS (SELECT DISTINCT addr, 0 FROM cur WHERE seed AND addr IS NOT NULL UNION (SELECT fe.callee, min(c.depth) + 1 FROM cl c JOIN fe ON fe.caller = c.node WHERE fe.callee NOT IN (SELECT node FROM recurring.cl) GROUP BY 1))"""
+
+
+@query(f"WITH RECURSIVE {WHOLE} SELECT node, depth FROM cl")
+def closure_whole(spark, d):
+    return reached_whole(spark, d)
+
+
 @query(f"WITH {FOLLOW} SELECT node, 'max-depth' AS reason FROM l3 WHERE depth = 3")
 def closure_frontier(spark, d):
     return reached(spark, d).filter("depth = 3").select("node", F.lit("max-depth").alias("reason"))

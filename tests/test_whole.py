@@ -32,3 +32,24 @@ def test_labels_are_propagated_until_they_settle(spark):
     assert {r.node: r.label for r in q["lpa_3rounds"](spark, D).collect()} != label
     summary = q["community_summary_whole"](spark, D).collect()
     assert {r.label: r.size for r in summary} == Counter(label.values()) and {r.converged for r in summary} == {not moved}
+
+
+def closure_of(spark, edges, dropped=()):
+    near = defaultdict(set)
+    for r in edges:
+        if r.callee is not None and r.kind not in ("helper", "import", "indirect") and r.callee not in dropped:
+            near[r.caller].add(r.callee)
+    depth = {r.addr: 0 for r in corpus.functions(spark, D).filter("seed").collect()}
+    queue = list(depth)
+    for n in queue:
+        for o in near[n] - depth.keys():
+            depth[o] = depth[n] + 1
+            queue.append(o)
+    return depth
+
+
+def test_closure_has_no_depth_limit(spark):
+    dropped = {r.addr for r in corpus.runtime(spark, D).collect()}
+    want = closure_of(spark, corpus.edges(spark, D).collect(), dropped)
+    assert max(want.values()) > 3
+    assert {r.node: r.depth for r in entry.queries()["closure_whole"](spark, D).collect()} == want
