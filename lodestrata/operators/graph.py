@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.operators.skew import SALT, hot_keys, salted
+from lodestrata.operators.skew import SALT, hot_keys, salted, skew_join
 from lodestrata.shared import discard, store
 
 
@@ -62,6 +62,24 @@ def stop_counts(edges: DataFrame, reached: DataFrame, src: str, dst: str, kind:
     return hit.select(src, dst, kind).distinct().groupBy(kind).agg(F.count(F.lit(1)).alias("n_stopped"))
 
 
+def stop_reasons(edges: DataFrame, reached: DataFrame, src: str, dst: str, kind: str, stops: tuple[str, ...], runtime: DataFrame, blind: str, max_depth: int = 0) -> DataFrame:
+    """Why a closure stopped: kind, n_stopped.
+
+    For each kind of ``stops`` the distinct (expanded caller, callee); as
+    ``runtime`` those of other kinds to nodes of ``runtime`` (one column);
+    ``blind`` edges have no target, so each counts, from all reached callers.
+    """
+    ends = edges.select(F.col(src).alias("node"), F.col(dst).alias("to"), F.col(kind).alias("kind"))
+    hit = skew_join(ends, reached.select("node", "depth"), ["node"])
+    unseen = hit.filter(F.col("kind") == blind).groupBy("kind").agg(F.count(F.lit(1)).alias("n_stopped"))
+    grown = hit.filter(F.col("depth") < max_depth) if max_depth else hit
+    aimed = grown.filter((F.col("kind") != blind) & F.col("to").isNotNull()).select("node", "to", "kind").distinct()
+    other = aimed.filter(~F.col("kind").isin(*stops)).select("node", "to").distinct()
+    late = skew_join(other, runtime.select(F.col(runtime.columns[0]).alias("to")).distinct(), ["to"], "left_semi")
+    seen = aimed.filter(F.col("kind").isin(*stops)).unionByName(late.withColumn("kind", F.lit("runtime")))
+    return seen.groupBy("kind").agg(F.count(F.lit(1)).alias("n_stopped")).unionByName(unseen)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the least node of each connected component, by alternating large and small stars.
 

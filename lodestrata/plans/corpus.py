@@ -148,6 +148,15 @@ def closure_stopped(spark, d):
     return graph.stop_counts(edges(spark, d), reached(spark, d), "caller", "callee", "kind", ("helper", "import", "indirect"), 3)
 
 
+@query(
+    f"""WITH RECURSIVE {WHOLE}, hit AS (SELECT e.* FROM e JOIN cl ON node = caller)
+ SELECT kind, count(*) AS n_stopped FROM (SELECT DISTINCT caller, callee, kind FROM hit WHERE callee IS NOT NULL AND kind IN ('helper', 'import')
+ UNION ALL (SELECT DISTINCT caller, callee, 'runtime' FROM hit WHERE kind NOT IN {STOPS} AND callee IN (SELECT addr FROM rt)) UNION ALL SELECT caller, callee, kind FROM hit WHERE kind = 'indirect') GROUP BY 1"""
+)
+def closure_stopped_whole(spark, d):
+    return graph.stop_reasons(edges(spark, d), reached_whole(spark, d), "caller", "callee", "kind", STOPS, runtime(spark, d), "indirect")
+
+
 @query(
     f"""WITH RECURSIVE {EDGE}, ab AS MATERIALIZED (SELECT caller AS a, callee AS b FROM de UNION SELECT callee, caller FROM de),
  cc(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM ab UNION (SELECT ab.a, min(o.root) FROM recurring.cc o JOIN ab ON ab.b = o.node JOIN recurring.cc m ON m.node = ab.a WHERE o.root < m.root GROUP BY ab.a)) SELECT node, root FROM cc"""

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import __spark_entry__ as entry
+from lodestrata.operators import graph
 from lodestrata.plans import corpus
 
 D = "/root/testdata/sf0.001"
@@ -53,3 +54,19 @@ def test_closure_has_no_depth_limit(spark):
     want = closure_of(spark, corpus.edges(spark, D).collect(), dropped)
     assert max(want.values()) > 3
     assert {r.node: r.depth for r in entry.queries()["closure_whole"](spark, D).collect()} == want
+
+
+def test_stop_reasons(spark):
+    e = spark.createDataFrame([(1, 2, "helper"), (1, 2, "helper"), (3, 4, "helper"), (1, None, "indirect"), (1, None, "indirect"), (3, None, "indirect"), (9, None, "indirect"), (1, 8, "direct"), (1, 8, "direct"), (1, 3, "direct")], "a long, b long, k string")
+    reached = spark.createDataFrame([(1, 0), (3, 2)], "node long, depth int")
+    runtime = spark.createDataFrame([(8,)], "addr long")
+    got = lambda depth: {r.kind: r.n_stopped for r in graph.stop_reasons(e, reached, "a", "b", "k", ("helper", "indirect"), runtime, "indirect", depth).collect()}
+    assert got(0) == {"helper": 2, "indirect": 3, "runtime": 1}
+    assert got(2) == {"helper": 1, "indirect": 3, "runtime": 1}
+
+
+def test_every_indirect_edge_of_reached_callers_counts(spark):
+    edges = corpus.edges(spark, D).collect()
+    reached = closure_of(spark, edges, {r.addr for r in corpus.runtime(spark, D).collect()})
+    got = {r.kind: r.n_stopped for r in entry.queries()["closure_stopped_whole"](spark, D).collect()}
+    assert got["indirect"] == sum(r.kind == "indirect" and r.caller in reached for r in edges)
