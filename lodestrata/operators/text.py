@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import let, split_lines, token_estimate
+from lodestrata.operators.skew import skew_join
 
 #: Spelling of decompiler types by width.
 WIDTH_TYPES = {"undefined8": "u64", "undefined4": "u32", "undefined2": "u16", "undefined1": "u8", "undefined": "u8", "ulonglong": "u64", "longlong": "s64", "uint": "u32", "ushort": "u16", "uchar": "u8", "byte": "u8"}
@@ -103,9 +104,40 @@ def within_budget(df: DataFrame, by: list[str], order: list[str], text: str, bud
     return df.withColumn("tokens_before", F.coalesce(F.sum(token_estimate(F.col(text))).over(w), F.lit(0))).filter(F.col("tokens_before") < budget)
 
 
-def packets(functions: DataFrame, edges: DataFrame, bodies: DataFrame, addr: str, most_tokens: int, most_callees: int = 12) -> DataFrame:
+def packet_facts(functions: DataFrame, edges: DataFrame, constants: DataFrame, addr: str, most_constants: int = 8, most_siblings: int = 2) -> DataFrame:
+    """(addr, n_indirect, constants, siblings) for ``packets``.
+
+    ``functions``: addr, name, status, family_id, hot; ``constants``: addr, value.
+    Constants that are functions are named; siblings are the hottest ported
+    functions of the same family.
+    """
+    names = functions.select(F.col(addr).alias("value"), "name")
+    least = constants.distinct().withColumn("rn", F.row_number().over(W.partitionBy(addr).orderBy("value"))).filter(F.col("rn") <= most_constants)
+    named = skew_join(least, names, ["value"], "left").withColumn("t", F.concat(F.format_string("0x%08X", "value"), F.coalesce(F.concat(F.lit(" ("), "name", F.lit(")")), F.lit(""))))
+    values = named.groupBy(addr).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "t"))), lambda x: x["t"]), " ").alias("constants"))
+    indirect = edges.filter(F.col("kind") == "indirect").groupBy(F.col("caller").alias(addr)).agg(F.count(F.lit(1)).alias("n_indirect"))
+    ported = functions.filter(F.col("status").isin("verified", "promoted") & F.col("family_id").isNotNull())
+    rank = F.row_number().over(W.partitionBy("family_id").orderBy(F.coalesce("hot", F.lit(0)).desc(), addr))
+    spelled = F.concat(F.format_string("sub_%08X", F.col(addr)), F.coalesce(F.concat(F.lit(" ("), "name", F.lit(")")), F.lit("")))
+    first = ported.withColumn("rn", rank).filter(F.col("rn") <= most_siblings + 1).groupBy("family_id").agg(F.array_sort(F.collect_list(F.struct("rn", F.col(addr).alias("a"), spelled.alias("t")))).alias("kin"))
+    others = F.slice(F.filter("kin", lambda x: x["a"] != F.col(addr)), 1, most_siblings)
+    kin = skew_join(functions.filter(F.col("family_id").isNotNull()).select(addr, "family_id"), first, ["family_id"]).select(addr, F.array_join(F.transform(others, lambda x: x["t"]), " ").alias("siblings"))
+    return functions.select(addr).join(indirect, addr, "left").join(values, addr, "left").join(kin, addr, "left").select(addr, "n_indirect", "constants", F.nullif("siblings", F.lit("")).alias("siblings"))
+
+
+def marked(edges: DataFrame, functions: DataFrame, addr: str) -> DataFrame:
+    """Edges with the status of the callee in its name: ``[ported]`` or a gate."""
+    status = functions.select(F.col(addr).alias("callee"), F.when(F.col("status").isin("verified", "promoted"), " [ported]").when(F.col("status").isin("gate1", "gate2", "gate3"), F.concat(F.lit(" ["), "status", F.lit("]"))).alias("mark"))
+    return skew_join(edges, status.filter("mark is not null"), ["callee"], "left").withColumn("callee_name", F.concat("callee_name", F.coalesce("mark", F.lit("")))).drop("mark")
+
+
+def packets(functions: DataFrame, edges: DataFrame, bodies: DataFrame, addr: str, most_tokens: int, most_callees: int = 12, facts: DataFrame | None = None, keep_last: bool = False) -> DataFrame:
     """(addr, packet, tokens, dropped): head, callees by kind and site, the body; the body goes when over budget.
 
+    With ``facts`` (see ``packet_facts``) lines of constants and siblings and
+    the number of indirect calls follow. With ``keep_last`` the body goes only
+    where another remains: the column ``c`` of ``bodies``, if there is one.
+
     ``functions``: addr, name, lines, tier; ``edges``: caller, callee, callee_name,
     kind, site_line; ``bodies``: addr, body. One wide join instead of a lookup
     for each part.
@@ -117,7 +149,15 @@ def packets(functions: DataFrame, edges: DataFrame, bodies: DataFrame, addr: str
     j = functions.join(names, addr, "left").join(bodies, addr, "left")
     head = F.concat(F.lit("FUNCTION "), F.coalesce("name", F.format_string("sub_%08X", F.col(addr))), F.lit(" lines="), F.coalesce(F.col("lines").cast("string"), F.lit("?")), F.lit(" tier="), F.coalesce("tier", F.lit("?")))
     base = F.concat(head, F.lit("\nCALLEES "), F.coalesce("callees", F.lit("")))
+    if facts is not None:
+        j = j.join(facts, addr, "left")
+        line = lambda label, c: F.coalesce(F.concat(F.lit(f"\n{label} "), c), F.lit(""))
+        base = F.concat(base, F.coalesce(F.concat(F.lit(" | "), F.col("n_indirect").cast("string"), F.lit(" indirect")), F.lit("")), line("CONSTANTS", "constants"), line("SIBLINGS", "siblings"))
+    if "c" in j.columns:
+        base = F.concat(base, F.coalesce(F.concat(F.lit("\n\n"), "c"), F.lit("")))
     full = F.concat(base, F.lit("\n\n"), F.coalesce("body", F.lit("")))
     over = token_estimate(full) > most_tokens
+    if keep_last:
+        over = over & (F.col("c").isNotNull() if "c" in j.columns else F.lit(False))
     text = F.when(over, base).otherwise(full)
     return j.select(addr, text.alias("packet"), token_estimate(text).alias("tokens"), F.when(over & F.col("body").isNotNull(), F.array(F.lit("body"))).otherwise(F.array().cast("array<string>")).alias("dropped"))

@@ -701,9 +701,12 @@ def c_views(spark, d):
 
 @query()
 def packet_views(spark, d):
-    f = functions(spark, d).select("addr", "name", F.col("lifted_lines").alias("lines"), "tier")
+    f = functions(spark, d).select("addr", "name", F.col("lifted_lines").alias("lines"), "tier", "status", "family_id", "hot")
     bodies = listings(spark, d).groupBy("addr").agg(F.min("body").alias("body"))
-    return text.packets(f, edges(spark, d), bodies, "addr", 400).select("addr", "packet", "tokens", F.size("dropped").alias("n_dropped"))
+    constants = folds.fold_constants(bodies, "addr", "body").select("addr", F.explode("values").alias("value"))
+    calls = edges(spark, d)
+    facts = text.packet_facts(f, calls, constants, "addr")
+    return text.packets(f, text.marked(calls, f, "addr"), bodies, "addr", 6000, facts=facts, keep_last=True).select("addr", "packet", "tokens", F.size("dropped").alias("n_dropped"))
 
 
 @query()

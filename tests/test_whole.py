@@ -3,7 +3,7 @@
 from collections import Counter, defaultdict
 
 import __spark_entry__ as entry
-from lodestrata.operators import graph
+from lodestrata.operators import graph, text
 from lodestrata.plans import corpus
 
 D = "/root/testdata/sf0.001"
@@ -70,3 +70,19 @@ def test_every_indirect_edge_of_reached_callers_counts(spark):
     reached = closure_of(spark, edges, {r.addr for r in corpus.runtime(spark, D).collect()})
     got = {r.kind: r.n_stopped for r in entry.queries()["closure_stopped_whole"](spark, D).collect()}
     assert got["indirect"] == sum(r.kind == "indirect" and r.caller in reached for r in edges)
+
+
+def test_packets_keep_the_only_body_and_state_the_facts(spark):
+    f = spark.createDataFrame([(1, "alpha", 9, "A", "pending", 5, 1), (2, "beta", 9, "B", "verified", 5, 3), (3, None, 9, "C", "gate2", 5, 0)], "addr long, name string, lines int, tier string, status string, family_id long, hot long")
+    e = spark.createDataFrame([(1, 2, "beta", "direct", 1), (1, 3, "c", "direct", 2), (1, None, "(indirect)", "indirect", 3), (1, None, "(indirect)", "indirect", 4)], "caller long, callee long, callee_name string, kind string, site_line int")
+    b = spark.createDataFrame([(1, "y" * 4000, None), (2, "y" * 4000, "int c;")], "addr long, body string, c string")
+    k = spark.createDataFrame([(1, 2), (1, 255), (1, 255)], "addr long, value long")
+    got = {r.addr: r for r in text.packets(f, text.marked(e, f, "addr"), b, "addr", 400, facts=text.packet_facts(f, e, k, "addr"), keep_last=True).collect()}
+    assert got[1].packet == "FUNCTION alpha lines=9 tier=A\nCALLEES beta [ported] c [gate2] | 2 indirect\nCONSTANTS 0x00000002 (beta) 0x000000FF\nSIBLINGS sub_00000002 (beta)\n\n" + "y" * 4000
+    assert got[1].dropped == [] and got[2].dropped == ["body"] and got[2].packet.endswith("int c;")
+
+
+def test_packet_views_hold_every_listing(spark):
+    views = {r.addr: r for r in entry.queries()["packet_views"](spark, D).collect()}
+    bodies = {r.addr: r.body for r in corpus.listings(spark, D).groupBy("addr").agg({"body": "min"}).toDF("addr", "body").collect()}
+    assert all(r.n_dropped == 0 and r.packet.endswith(bodies.get(a, "")) for a, r in views.items())
