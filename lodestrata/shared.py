@@ -10,10 +10,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +42,8 @@ def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     uri = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
+    for held in _OPEN:
+        held.append(uri)
     return spark.read.schema(df.schema).parquet(uri), uri
 
 
@@ -50,6 +55,25 @@ def discard(spark: SparkSession, *uris: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def store_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, str, dict[str, int]]:
+    """``store``, with aggregates of the rows taken while they are written, so no job reads them again for that."""
+    seen = Observation()
+    back, uri = store(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), label)
+    return back, uri, seen.get
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end every table stored within, whatever read it; results must be written or collected by then."""
+    held: list[str] = []
+    _OPEN.append(held)
+    try:
+        yield
+    finally:
+        _OPEN.remove(held)
+        discard(spark, *held)
+
+
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
