@@ -1,186 +1,118 @@
 """Runs of identical consecutive events, by pointer doubling.
 
-Each event that matches the event before it in its sequence points to it;
-pointers are replaced by pointers' pointers until all reach the start of
-their run, so a run of length L takes log2 L rounds.
-
-Sequences may be unboundedly long and uneven, so they are cut into blocks of
-the order column. Within a block, which one task holds in order, the pointer
-table is a vector and a round joins it with itself in memory. Only runs that
-touch the edge of a block go on: such a fragment points to the fragment that
-ends the block before, and these pointers are doubled by self-joins of a
-table with at most two rows a block, written to the shared folder each round.
+Every event that continues the event before it in its sequence points to it.
+Pointers are then replaced by their pointers' pointers in self-joins of the
+pointer table, until all reach the start of their run: a run of L events takes
+log2 L rounds. A pointer carries what it skips (events, least and greatest
+measure), so the last event of a run ends up with all of its run.
+
+The event before is found without holding a sequence in one task: sequences
+are cut into blocks of the order column, a block's first event takes the last
+event of the nearest earlier block, and that search over blocks is cut into
+blocks of blocks in turn, as often as the span of the order column asks.
+
+In a round each event is pointed to by at most one other, so the self-joins
+are one to one and no key is hot. Events that nothing points to at the
+round's distance are never looked up again and leave the table; so each round
+holds runs of more than 2^round events only. Every round is written to the
+shared folder.
 
 Defined results: copies of an event (same sequence and order value) count
 once, with the least item and measure among them that is not null; an event
 without a sequence or order value is left out; an event with a null item is
-in no run and ends the one before it; runs shorter than ``least`` are left
-out; an empty table gives no runs.
+in no run and ends the one before it; measures that are null count as none;
+runs shorter than ``least`` are left out; an empty table gives no runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.functions.shipping import ship
-from lodestrata.llm.topn import breaks
-from lodestrata.shared import discard, store
+from lodestrata.shared import discard, store, store_counted
 
-ship(__name__)
 
+def latest_before(blocks: DataFrame, sequence: list[str], value: str, span: int) -> DataFrame:
+    """(sequence, block, before): for each block the ``value`` of the nearest earlier block of its sequence, null for the first.
 
-def run_starts(matches: np.ndarray) -> np.ndarray:
-    """The start of each position's run by pointer doubling; ``matches[i]``: i continues i - 1."""
-    here = np.arange(len(matches))
-    pointer = np.where(matches, here - 1, here)
-    while True:
-        doubled = pointer[pointer]
-        if np.array_equal(doubled, pointer):
-            return pointer
-        pointer = doubled
+    ``blocks`` has one row a block. No window holds more than ``span`` (over 1) rows.
+    """
+    reach = blocks.agg(F.min("block").alias("a"), F.max("block").alias("b")).first()
+    if reach["a"] is None or reach["b"] - reach["a"] < span:
+        w = W.partitionBy(*sequence).orderBy("block")
+        return blocks.select(*sequence, "block", F.lag(value).over(w).alias("before"))
+    wide = blocks.withColumn("__inner", F.col("block")).withColumn("block", F.floor(F.col("block") / span))
+    w = W.partitionBy(*sequence, "block").orderBy("__inner")
+    own = wide.select(*sequence, "block", "__inner", F.lag(value).over(w).alias("__near"))
+    outer = latest_before(wide.groupBy(*sequence, "block").agg(F.max_by(value, "__inner").alias(value)), sequence, value, span)
+    return own.join(outer, [*sequence, "block"]).select(*sequence, F.col("__inner").alias("block"), F.coalesce("__near", "before").alias("before"))
 
 
-def fragments(batches: Iterator[pa.RecordBatch], sequence: list[str], measured: bool, least: int) -> Iterator[pa.RecordBatch]:
-    """Ordered events of whole blocks to fragments of runs.
+def double(links: DataFrame) -> DataFrame:
+    """(last, start, n, low, high) of each run.
 
-    A fragment is given out if it is long enough or touches an edge of its
-    block. Block-wise, the last fragment of a batch waits for the next batch.
+    ``links`` has id, ptr, n, low, high and ``last`` (nothing points here).
     """
-    names = [*sequence, "__block"]
-    waiting: dict | None = None
-    before = None
-
-    def give(cols: dict[str, list | pa.Array], size: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(cols)
-
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        new, before = breaks(batch, names, before)
-        item = batch.column("__item")
-        void = item.is_null().to_numpy(zero_copy_only=False)
-        code = pc.fill_null(item, 0).to_numpy(zero_copy_only=False)
-        order = batch.column("__order").to_numpy()
-        match = np.zeros(n, dtype=bool)
-        match[1:] = ~new[1:] & ~void[1:] & ~void[:-1] & (code[1:] == code[:-1])
-        start = run_starts(match)
-        heads = np.flatnonzero(start == np.arange(n))
-        tails = np.append(heads[1:], n) - 1
-        count = tails - heads + 1
-        low = high = np.full(len(heads), np.nan)
-        if measured:
-            m = pc.cast(batch.column("__measure"), pa.float64()).to_numpy(zero_copy_only=False)
-            low, high = np.fmin.reduceat(m, heads), np.fmax.reduceat(m, heads)
-        opens = new[heads]
-        closes = np.zeros(len(heads), dtype=bool)
-        closes[:-1] = new[heads[1:]]
-        made = {c: batch.column(c).take(pa.array(heads)) for c in names}
-        made |= {
-            "item": item.take(pa.array(heads)),
-            "first": pa.array(order[heads]),
-            "last": pa.array(order[tails]),
-            "n": pa.array(count),
-            "low": pa.array(low, from_pandas=True),
-            "high": pa.array(high, from_pandas=True),
-            "opens": pa.array(opens),
-            "closes": pa.array(closes),
-        }
-        table = pa.RecordBatch.from_pydict(made)
-        if waiting is not None:
-            first = table.slice(0, 1).to_pylist()[0]
-            if not first["opens"] and first["item"] is not None and first["item"] == waiting["item"]:
-                pair = [x for x in (waiting["low"], first["low"]) if x is not None], [x for x in (waiting["high"], first["high"]) if x is not None]
-                waiting |= {"last": first["last"], "n": waiting["n"] + first["n"], "low": min(pair[0], default=None), "high": max(pair[1], default=None)}
-                table = table.slice(1)
-                follows = bool(opens[1]) if len(opens) > 1 else False
-                if not table.num_rows:
-                    continue
-            else:
-                follows = bool(opens[0])
-            waiting["closes"] = follows
-            if waiting["opens"] or waiting["closes"] or (waiting["n"] >= least and waiting["item"] is not None):
-                yield pa.RecordBatch.from_pylist([waiting], schema=table.schema)
-        waiting = table.slice(table.num_rows - 1).to_pylist()[0]
-        table = table.slice(0, table.num_rows - 1)
-        keep = pc.or_(pc.or_(table.column("opens"), table.column("closes")), pc.and_(pc.greater_equal(table.column("n"), least), pc.is_valid(table.column("item"))))
-        yield table.filter(keep)
-    if waiting is not None:
-        yield pa.RecordBatch.from_pylist([waiting | {"closes": True}], schema=table.schema)
+    spark = links.sparkSession
+    table, at = store(links.withColumn("open", F.lit(True)), "pointers")
+    rounds: list[str] = []
+    left = {"open": 1}
+    while left["open"]:
+        a, b = table.filter("open").alias("a"), table.alias("b")
+        j = a.join(b, F.col("a.ptr") == F.col("b.id"), "left")
+        moved = F.struct(
+            F.col("a.id").alias("id"),
+            F.coalesce("b.ptr", "a.ptr").alias("ptr"),
+            (F.col("a.n") + F.coalesce("b.n", F.lit(0))).alias("n"),
+            F.least("a.low", "b.low").alias("low"),
+            F.greatest("a.high", "b.high").alias("high"),
+            F.col("a.last").alias("last"),
+            F.coalesce("b.open", F.lit(False)).alias("open"),
+        )
+        kept = F.when(~F.col("b.open"), F.struct(*[F.col(f"b.{c}").alias(c) for c in table.columns]))
+        step = j.select(F.explode(F.filter(F.array(moved, kept), lambda x: x.isNotNull())).alias("x")).select("x.*")
+        following, now, left = store_counted(step, "pointers", open=F.count_if("open"))
+        if not rounds:
+            discard(spark, at)
+        table = following
+        rounds.append(now)
+    # The last event of a run is looked up by none, so it is done in the table of one round only.
+    return spark.read.schema(table.schema).parquet(*rounds).filter("last and not open").select(F.col("id").alias("last"), F.col("ptr").alias("start"), "n", "low", "high")
 
 
 def collapse_runs(events: DataFrame, sequence: list[str], order: str, item: str, measure: str | None = None, block: int = 16384, least: int = 2) -> DataFrame:
-    """One row for each run of at least ``least`` events: sequence, item, first, last, n, duration.
+    """One row for each run of at least ``least`` (2 or more) events: sequence, item, first, last, n, duration.
 
     ``item`` and ``order`` are longs; ``item`` is equal for events that are
     identical, or near enough by the caller's spelling. ``duration`` is the
     greatest minus the least measure in the run, null without one.
     ``block`` is the span of the order column that one task handles at once.
     """
-    spark = events.sparkSession
-    slim = events.select(*sequence, F.col(order).cast("bigint").alias("__order"), F.col(item).cast("bigint").alias("__item"), *([F.col(measure).cast("bigint").alias("__measure")] if measure else []))
-    for c in [*sequence, "__order"]:
-        slim = slim.filter(F.col(c).isNotNull())
-    once = slim.groupBy(*sequence, "__order").agg(F.min("__item").alias("__item"), *([F.min("__measure").alias("__measure")] if measure else []))
-    laid = once.withColumn("__block", F.floor(F.col("__order") / block)).repartition(*sequence, "__block").sortWithinPartitions(*sequence, "__block", "__order")
-    kinds = dict(slim.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in sequence), "`__block` bigint, item bigint, first bigint, last bigint, n bigint, low double, high double, opens boolean, closes boolean"])
-    measured = measure is not None
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fragments(batches, sequence, measured, least)
-
-    found, at = store(laid.mapInArrow(cut, schema), "fragments")
-    inner = found.filter(~F.col("opens") & ~F.col("closes"))
-    edge = found.filter(F.col("opens") | F.col("closes"))
-    joined = chain(edge, sequence)
-    pick = [*sequence, "item", "first", "last", "n", "low", "high"]
-    runs = inner.select(*pick).unionAll(joined.select(*pick))
-    return runs.filter(F.col("item").isNotNull() & (F.col("n") >= least)).select(*sequence, "item", "first", "last", "n", (F.col("high") - F.col("low")).cast("bigint").alias("duration"))
-
-
-def chain(edge: DataFrame, sequence: list[str]) -> DataFrame:
-    """Fragments at block edges joined to whole runs, by doubling pointers in self-joins.
-
-    A fragment that opens its block and has the item of the fragment that
-    closed the block before it points there. Each round joins the open
-    pointers with the table; a fragment is done when its pointer has none.
-    """
-    w = W.partitionBy(*sequence).orderBy("first")
-    before = edge.select("*", F.lag("item").over(w).alias("__pi"), F.lag("first").over(w).alias("__pf"), F.lead("item").over(w).alias("__ni"), F.lead("opens").over(w).alias("__no"))
-    continues = F.col("opens") & F.coalesce(F.col("item") == F.col("__pi"), F.lit(False))
-    goes_on = F.coalesce(F.col("__no") & F.col("closes") & (F.col("__ni") == F.col("item")), F.lit(False))
-    links = before.select(*sequence, "item", "first", "last", "n", "low", "high", F.when(continues, F.col("__pf")).alias("pointer"), (~goes_on).alias("ends"))
-    links, at = store(links, "links")
-    old: list[str] = []
-    while links.filter(F.col("pointer").isNotNull() & F.col("ends")).limit(1).count():
-        a, b = links.alias("a"), links.alias("b")
-        hit = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in sequence]
-        on = hit[0]
-        for h in hit[1:]:
-            on = on & h
-        step = a.join(b, on & (F.col("a.pointer") == F.col("b.first")), "left")
-        # a now covers b's stretch too; `first` stays the name of the fragment, `begin` would be b's start.
-        following = step.select(
-            *[F.col(f"a.{c}").alias(c) for c in [*sequence, "item", "first", "last"]],
-            (F.col("a.n") + F.coalesce(F.col("b.n"), F.lit(0))).alias("n"),
-            F.least("a.low", "b.low").alias("low"),
-            F.greatest("a.high", "b.high").alias("high"),
-            F.col("b.pointer").alias("pointer"),
-            F.coalesce(F.col("b.begin") if "begin" in links.columns else F.col("b.first"), F.col("a.begin") if "begin" in links.columns else F.col("a.first")).alias("begin"),
-            F.col("a.ends").alias("ends"),
-        )
-        links, now = store(following, "links")
-        old.append(at)
-        at = now
-        if len(old) > 1:
-            discard(links.sparkSession, old.pop(0))
-    first = F.col("begin") if "begin" in links.columns else F.col("first")
-    return links.filter("ends").select(*sequence, "item", first.alias("first"), "last", "n", "low", "high")
+    seq = [f"__s{i}" for i in range(len(sequence))]
+    value = F.col(measure).cast("bigint") if measure else F.lit(None).cast("bigint")
+    slim = events.select(*[F.col(c).alias(s) for c, s in zip(sequence, seq)], F.col(order).cast("bigint").alias("at"), F.col(item).cast("bigint").alias("item"), value.alias("measure"))
+    slim = slim.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*seq, "at"]]))
+    # One exchange serves the dropping of copies, the window and the blocks.
+    laid = slim.withColumn("block", F.floor(F.col("at") / block)).repartition(*seq, "block")
+    once = laid.groupBy(*seq, "block", "at").agg(F.min("item").alias("item"), F.min("measure").alias("measure")).withColumn("id", F.monotonically_increasing_id())
+    w = W.partitionBy(*seq, "block").orderBy("at")
+    same = lambda near: F.coalesce(F.col("item") == near, F.lit(False))
+    seen = once.select("*", F.lag("id").over(w).alias("prior"), same(F.lag("item").over(w)).alias("follows"), same(F.lead("item").over(w)).alias("goes_on"), F.lead("id").over(w).isNull().alias("closes"))
+    marked, _ = store(seen.filter(F.col("follows") | F.col("goes_on") | F.col("closes") | F.col("prior").isNull()), "events")
+    tails = marked.filter("closes").select(*seq, "block", F.struct("id", "item").alias("tail"))
+    before = latest_before(tails, seq, "tail", max(block, 1024)).filter("before is not null")
+    heads = marked.filter("prior is null").join(before, [*seq, "block"])
+    crossed, _ = store(heads.filter(same(F.col("before.item"))).select("id", F.col("before.id").alias("ptr"), "measure", "goes_on", "closes"), "crossings")
+    links = marked.filter("follows").select("id", F.col("prior").alias("ptr"), "measure", "goes_on", "closes").unionByName(crossed)
+    onward = crossed.select(F.col("ptr").alias("id"), F.lit(True).alias("__on"))
+    closing = links.filter("closes").join(onward, "id", "left").withColumn("last", F.col("__on").isNull()).drop("__on")
+    whole = links.filter("not closes").withColumn("last", ~F.col("goes_on")).unionByName(closing)
+    runs = double(whole.select("id", "ptr", F.lit(1).cast("bigint").alias("n"), F.col("measure").alias("low"), F.col("measure").alias("high"), "last"))
+    final = marked.filter(F.col("follows") | F.col("prior").isNull()).select(F.col("id").alias("last"), F.col("at").alias("__last"))
+    first = marked.filter(~F.col("follows")).select(F.col("id").alias("start"), *seq, "item", F.col("at").alias("__first"), "measure")
+    found = runs.join(final, "last").join(first, "start").withColumn("n", F.col("n") + 1).filter(F.col("n") >= least)
+    span: Column = F.greatest("high", "measure") - F.least("low", "measure")
+    return found.select(*[F.col(s).alias(c) for c, s in zip(sequence, seq)], "item", F.col("__first").alias("first"), F.col("__last").alias("last"), "n", span.alias("duration"))

@@ -1,8 +1,6 @@
 import random
 
-import numpy as np
-
-from lodestrata.llm.runs import collapse_runs, run_starts
+from lodestrata.llm.runs import collapse_runs, latest_before
 
 SCHEMA = "capture long, thread string, seq long, item long, cycles long"
 
@@ -26,18 +24,6 @@ def brute(rows, least=2):
     return sorted((*k, i, a, b, len(ys), max(known(ys)) - min(known(ys)) if known(ys) else None) for k, i, a, b, ys in out if i is not None and len(ys) >= least)
 
 
-def test_pointer_doubling():
-    rnd = np.random.default_rng(0)
-    for n in (1, 2, 17, 1000):
-        m = rnd.random(n) < 0.8
-        m[0] = False
-        want, head = [], 0
-        for i in range(n):
-            head = head if m[i] else i
-            want.append(head)
-        assert run_starts(m).tolist() == want
-
-
 def test_against_brute_force_over_block_edges(spark):
     rnd = random.Random(5)
     rows = []
@@ -52,15 +38,25 @@ def test_against_brute_force_over_block_edges(spark):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(brute(rows), key=str), block
 
 
-def test_batches_within_a_block(spark):
-    rows = [(1, "a", s, 5 if s < 25_000 else s % 3, s) for s in range(30_000)]
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "777")
-    try:
-        got = collapse_runs(spark.createDataFrame(rows, SCHEMA), ["capture", "thread"], "seq", "item", "cycles", block=10_000)
-        assert [tuple(r) for r in got.collect()] == [(1, "a", 5, 0, 24_999, 25_000, 24_999)]
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+def test_runs_over_many_blocks(spark):
+    rows = [(1, "a", s * 3, 5 if s < 2500 else s % 3, 2**60 + s) for s in range(3000)] + [(2, "a", s, 6, s) for s in range(700)]
+    got = collapse_runs(spark.createDataFrame(rows, SCHEMA), ["capture", "thread"], "seq", "item", "cycles", block=32)
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 5, 0, 7497, 2500, 2499), (2, "a", 6, 0, 699, 700, 699)]
+
+
+def test_latest_before_by_levels(spark):
+    rnd = random.Random(3)
+    rows = sorted({(s, rnd.randrange(-5000, 5000)) for s in "ab" for _ in range(60)})
+    df = spark.createDataFrame([(s, b, b) for s, b in rows], "s string, block long, v long")
+    want = [(s, b, p if q == s else None) for (q, p), (s, b) in zip([(None, None), *rows], rows)]
+    for span in (4, 50, 100_000):
+        assert sorted(map(tuple, latest_before(df, ["s"], "v", span).collect())) == want
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("x", s, 1, s, "t") for s in range(4)], "n string, id long, item long, ptr long, last string")
+    df = df.withColumnRenamed("n", "block")
+    assert [tuple(r) for r in collapse_runs(df, ["block", "last"], "id", "item", "ptr").select("block", "n", "duration").collect()] == [("x", 4, 3)]
 
 
 def test_empty_and_nulls(spark):
