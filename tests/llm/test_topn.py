@@ -2,7 +2,7 @@ import random
 from heapq import merge
 
 from lodestrata.llm.loser_tree import LoserTree
-from lodestrata.llm.topn import top_n
+from lodestrata.llm.topn import seek_groups, top_n
 
 
 def test_loser_tree_merges():
@@ -30,12 +30,24 @@ SCHEMA = "g long, t string, hot long, addr long"
 def test_against_brute_force_with_a_hot_group(spark):
     rnd = random.Random(2)
     rows = [(rnd.choice([1, 1, 2, None]), rnd.choice(["A", "B", None]), rnd.choice([None, *range(5)]), i) for i in range(3000)]
-    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     for runs, fan in ((1, 32), (4, 32), (9, 2)):
-        got = top_n(df, ["g", "t"], ["hot"], ["addr"], 10, runs=runs, fan_in=fan)
+        df = spark.createDataFrame(rows, SCHEMA).repartition(runs)
+        got = top_n(df, ["g", "t"], ["hot"], ["addr"], 10, fan_in=fan)
         assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 10)
 
 
+def test_seek_over_batches():
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    groups = sorted(rnd.choices(range(12), [1, 40, 1, 9, 9, 30, 1, 1, 1, 1, 1, 5], k=300))
+    rows = [(g, i) for i, g in enumerate(groups)]
+    for cut in (1, 3, 7, 300):
+        batches = [pa.RecordBatch.from_pylist([{"g": g, "i": i} for g, i in rows[a : a + cut]]) for a in range(0, 300, cut)]
+        got = [(r["g"], r["i"]) for b in seek_groups(iter(batches), ["g"], 5) for r in b.to_pylist()]
+        assert got == [(g, i) for k, (g, i) in enumerate(rows) if k < 5 or groups[k - 5] != g]
+
+
 def test_edges(spark):
     rows = [(1, "A", 5, None), (1, "A", 5, 3), (1, "A", 5, 3), (1, "A", None, 1)]
     df = spark.createDataFrame(rows, SCHEMA)
