@@ -1,16 +1,22 @@
 """Encoding a corpus with a public byte-level BPE by corpus-level merge replay.
 
-Texts are cut into words by the tokenizer's pattern. The distinct words of a
-stretch of the corpus lie end to end in one array of token ids; an inverted
-index leads from each pair of neighbours, by the rank of its merge, to the
-positions where it stands. Merges are applied in rank order, each at all its
-positions at once, and only the neighbours it touches are indexed anew. The
-ids of a document are then gathered from those of its words.
-
-Each task replays its own stretch: encoding a word depends on no other word,
-so no shuffle is needed and a hot word is encoded once for a stretch. Texts
-are taken whole, whatever their length. An empty or null text has the empty
-list; strings of special tokens are ordinary text.
+1. Texts are cut into words by the tokenizer's pattern. Stretches of the
+   corpus become rows of a stored table: their distinct words, and each text
+   as a list of numbers of these words.
+2. The distinct words of the whole corpus are gathered, each once, and lie end
+   to end in arrays of token ids, one for each part of that table; an inverted
+   index leads from each pair of neighbours, by the rank of its merge, to the
+   positions where it stands. Merges are applied in rank order, each at all
+   its positions at once, and only the neighbours it touches are indexed anew.
+3. Ids of words go back to the stretches that hold them, and each text's ids
+   are read off its word numbers.
+
+A word is a row once for each stretch that holds it, so no word, however
+often it stands in the corpus, has more rows than there are stretches; a
+stretch has as many rows as distinct words, so its share of them is small.
+
+Texts are taken whole, whatever their length. An empty or null text has the
+empty list; strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -22,8 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestrata.functions.shipping import ship
+from lodestrata.shared import store
 
 ship(__name__)
 
@@ -138,45 +146,42 @@ class Merges:
         return token[:total][alive[:total]].astype(np.int32), left[starts]
 
 
+def number_words(texts: list[str | None], split) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words of some texts, and each text as numbers of words."""
+    number: dict[str, int] = {}
+    coded = []
+    for text in texts:
+        words = split(text) if text else ()
+        coded.append(np.fromiter([number.setdefault(w, len(number)) for w in words], np.int32, len(words)))
+    return list(number), coded
+
+
+def read_off(codes: np.ndarray, edges: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end and where each begins (with the end), from word numbers and the words' ids."""
+    begin = starts[codes]
+    sizes = starts[codes + 1] - begin
+    ends = np.cumsum(sizes)
+    gather = np.repeat(begin - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return ids[gather], np.concatenate([[0], ends])[edges]
+
+
 class Encoder:
-    """Encodes stretches of texts; remembers the ids of words while they take at most ``room`` bytes."""
+    """Encodes texts in one process."""
 
-    def __init__(self, path: str, pattern: str = PATTERN, room: int = 48_000_000):
+    def __init__(self, path: str, pattern: str = PATTERN):
         import regex
 
         self.merges, self.split = Merges(path), regex.compile(pattern).findall
-        self.room = room
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.empty(0, np.int32)
-        self.starts = np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text begins (with the end)."""
-        if 120 * len(self.number) + self.ids.nbytes > self.room:
-            self.forget()
-        number, known, lengths, flat = self.number, len(self.number), [], []
-        for text in texts:
-            words = self.split(text) if text else ()
-            lengths.append(len(words))
-            flat.extend([number.setdefault(w, len(number)) for w in words])
-        fresh = list(number)[known:] if known else list(number)
-        if fresh:
-            ids, starts = self.merges.replay([w.encode("utf-8") for w in fresh])
-            self.starts = np.concatenate([self.starts, starts[1:] + len(self.ids)])
-            self.ids = np.concatenate([self.ids, ids])
-        which = np.array(flat, np.int64)
-        begin, sizes = self.starts[which], self.starts[which + 1] - self.starts[which] if len(which) else np.empty(0, np.int64)
-        ends = np.cumsum(sizes)
-        gather = np.repeat(begin - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        edge = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
-        return self.ids[gather], np.concatenate([[0], ends])[edge]
-
-
-
-def stretches(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+        words, coded = number_words(texts, self.split)
+        ids, starts = self.merges.replay([w.encode("utf-8") for w in words]) if words else (np.empty(0, np.int32), np.zeros(1, np.int64))
+        edges = np.concatenate([[0], np.cumsum([len(c) for c in coded], dtype=np.int64)])
+        return read_off(np.concatenate([*coded, np.empty(0, np.int32)]), edges, ids, starts)
+
+
+def stretches(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     """Spans of texts of about ``most`` characters together, at least one text each."""
     begin = held = 0
     for i, t in enumerate(texts):
@@ -188,23 +193,83 @@ def stretches(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[
         yield begin, len(texts)
 
 
-def encode_corpus(df: DataFrame, text: str, out: str = "ids", vocabulary: str = VOCABULARY, sizes_only: bool = False) -> DataFrame:
+def encode_corpus(df: DataFrame, text: str, out: str = "ids", vocabulary: str = VOCABULARY, sizes_only: bool = False, stretch: int = 250_000, heap: int = 4_000_000) -> DataFrame:
     """Replace the text column by its token ids, or by their number with ``sizes_only``.
 
-    Other columns are kept. ``vocabulary`` is a tokenizer file that every
-    executor can read.
+    Other columns are kept, but for one named ``out``. ``vocabulary`` is a
+    tokenizer file that every executor can read. A row of the stored table
+    holds texts of about ``stretch`` characters; words of about ``heap``
+    characters are replayed at once.
     """
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, out)]
+    held = [f"k{i}" for i in range(len(keep))]
+    kinds = dict(df.dtypes)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split = regex.compile(PATTERN).findall
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for a, b in stretches(texts, stretch):
+                words, coded = number_words(texts[a:b], split)
+                edges = np.concatenate([[0], np.cumsum([len(c) for c in coded], dtype=np.int64)])
+                codes = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(coded), pa.int32()))
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([*(one(batch.column(i).slice(a, b - a)) for i in range(len(keep))), one(pa.array(words, pa.string())), one(codes)], [*held, "words", "codes"])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges, waiting, size = None, [], 0
+
+        def give() -> pa.RecordBatch:
+            words = pa.chunked_array(waiting).combine_chunks()
+            ids, starts = merges.replay([w.encode("utf-8") for w in words.to_pylist()])
+            waiting.clear()
+            made = pa.array(np.diff(starts), pa.int32()) if sizes_only else pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
+            return pa.RecordBatch.from_arrays([words, made], ["word", "ids"])
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            for a, b in stretches(texts):
-                ids, starts = encoder.encode(texts[a:b])
-                made = pa.array(np.diff(starts), pa.int64()) if sizes_only else pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
-                others = [batch.column(batch.schema.names.index(c)).slice(a, b - a) for c in keep]
-                yield pa.RecordBatch.from_arrays([*others, made], [*keep, out])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text]
-    return df.mapInArrow(walk, ", ".join([*fields, f"`{out}` {'bigint' if sizes_only else 'array<int>'}"]))
+            if not batch.num_rows:
+                continue
+            merges = merges or Merges(vocabulary)
+            waiting.append(batch.column(0))
+            size += batch.column(0).nbytes
+            if size >= heap:
+                yield give()
+                size = 0
+        if waiting:
+            yield give()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of held columns, codes, and the words' (number, ids) in any order."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                codes = row.column(len(keep)).flatten()
+                edges = codes.offsets.to_numpy()
+                flat = codes.flatten().to_numpy()
+                edges = edges - edges[0]
+                known = row.column(len(keep) + 1)
+                entries = known.flatten() if known.null_count == 0 else pa.StructArray.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int32() if sizes_only else pa.list_(pa.int32()))], ["code", "ids"])
+                place = np.argsort(entries.field("code").to_numpy(), kind="stable")
+                ids = entries.field("ids").take(pa.array(place))
+                if sizes_only:
+                    sums = np.concatenate([[0], np.cumsum(ids.to_numpy()[flat], dtype=np.int64)])
+                    made = pa.array(np.diff(sums[edges]), pa.int64())
+                else:
+                    starts = ids.offsets.to_numpy().astype(np.int64)
+                    got, begins = read_off(flat, edges, ids.flatten().to_numpy(), starts - starts[0])
+                    made = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(got, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(row.column(k).flatten() for k in range(len(keep))), made], [*keep, out])
+
+    spark = df.sparkSession
+    plain = df.select(*keep, text)
+    rows = plain.mapInArrow(cut, ", ".join([*(f"{h} array<{kinds[c]}>" for h, c in zip(held, keep)), "words array<string>, codes array<array<int>>"]))
+    table, _ = store(rows.withColumn("stretch", F.monotonically_increasing_id()), "stretches")
+    uses = table.select("stretch", F.posexplode("words").alias("code", "word"))
+    kind = "int" if sizes_only else "array<int>"
+    encoded, _ = store(uses.select("word").distinct().mapInArrow(replay, f"word string, ids {kind}"), "words")
+    known = uses.join(encoded, "word").groupBy("stretch").agg(F.collect_list(F.struct("code", "ids")).alias("known"))
+    whole = table.drop("words").join(known, "stretch", "left").select(*held, "codes", "known")
+    fields = [f"`{c}` {kinds[c]}" for c in keep]
+    return whole.mapInArrow(apply, ", ".join([*fields, f"`{out}` {'bigint' if sizes_only else 'array<int>'}"]))
