@@ -11,39 +11,36 @@ from lodestrata.operators import drift, nested, orphans
 from lodestrata.operators.evidence import current_rows
 from lodestrata.shared import store, table
 
-#: Figures of the usage objects that the typed table has a column for.
-FIGURES = {
-    "input_tokens": "input",
-    "output_tokens": "output",
-    "cache_read_input_tokens": "cache+read",
-    "cache_creation_input_tokens": "cache+creation",
-    "cached_input_tokens": "cache",
-    "reasoning_output_tokens": "reasoning",
-}
+#: Figures of the usage objects that the typed table has a column for, by one path of each.
+FIGURES = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cached_input_tokens", "reasoning_output_tokens")
 
 
 def usage_maps(spark: SparkSession, d: str) -> DataFrame:
+    """The path-value maps of the usage objects, parsed once and stored."""
     rows = table(spark, d, "provider_event").select("event_id", "feed", "file_no", "line_no", "body")
-    return with_leaf_map(rows, "body", "usage")
+    return store(with_leaf_map(rows, "body", "usage"), "usage")[0]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every change of shape of the usage objects between the files of a feed."""
-    maps = usage_maps(spark, d).select("feed", "file_no", "leaves")
-    return drift.shape_changes(maps, "feed", "file_no").select("feed", "file_no", "field", "change").distinct()
+    return drift.shape_changes(usage_maps(spark, d), "feed", "file_no").select("feed", "file_no", "field", "change").distinct()
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    maps = usage_maps(spark, d)
+    known = drift.spellings(drift.shape_changes(maps, "feed", "file_no"), [f"usage.{f}" for f in FIGURES])
+    known = drift.with_strays(known, maps)
+    return drift.typed_columns(maps.filter(F.col("leaves").isNotNull()), {f: known[f"usage.{f}"] for f in FIGURES})
 
 
 def p1_usage(spark: SparkSession, d: str) -> DataFrame:
     """One consistent row of usage figures for each record, with its failed casts."""
-    maps = usage_maps(spark, d).filter(F.col("leaves").isNotNull())
-    typed = drift.typed_columns(maps, FIGURES)
-    return typed.withColumn("failed_casts", F.to_json("failed_casts")).distinct()
+    return _typed(spark, d).withColumn("failed_casts", F.to_json("failed_casts")).distinct()
 
 
 def p1_casts(spark: SparkSession, d: str) -> DataFrame:
     """Values of the figures that could not be cast, by feed, path and kind."""
-    typed = drift.typed_columns(usage_maps(spark, d).filter(F.col("leaves").isNotNull()), FIGURES)
-    bad = typed.select("feed", "event_id", F.explode("failed_casts").alias("f")).select("feed", "event_id", "f.*").distinct()
+    bad = _typed(spark, d).select("feed", "event_id", F.explode("failed_casts").alias("f")).select("feed", "event_id", "f.*").distinct()
     return bad.groupBy("feed", "path", "kind").agg(F.count(F.lit(1)).alias("n_failed"), F.min("raw").alias("example"))
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 from lodestrata.functions.jsontree import leaves, with_leaf_map
 from lodestrata.operators import drift
@@ -18,7 +19,7 @@ def test_every_kind_of_change(spark):
     m = maps(
         spark,
         [
-            ("a", 1, u(input_tokens=1, cache_read_input_tokens=5, gone=1)),
+            ("a", 1, u(input_tokens=1, cache_read_input_tokens=5, gone=1_000_000)),
             ("a", 1, None),
             ("a", 2, u(input_tokens="1", cacheReadInputTokens=5, fresh=[1], nested={"x": None, "e": {}})),
             ("a", 2, u(input_tokens="1", cacheReadInputTokens=5, fresh=[1], nested={"x": None})),
@@ -37,9 +38,36 @@ def test_every_kind_of_change(spark):
     ]
 
 
-def test_read_and_creation_are_two_figures(spark):
-    m = maps(spark, [("a", 1, {"usage": {"cache_read_input_tokens": 1}}), ("a", 2, {"usage": {"cache_write_input_tokens": 1}})])
-    assert [c[2:] for c in changes(m)] == [("usage.cache_read_input_tokens", "removed"), ("usage.cache_write_input_tokens", "added")]
+def many(n, **fields):
+    """Records whose fields are drawn from (low, high)."""
+    rnd = random.Random(n)
+    return [{"usage": {k: rnd.randint(*v) for k, v in fields.items()}} for _ in range(n)]
+
+
+def test_renames_are_seen_in_the_values(spark):
+    rows = [("a", 1, r) for r in many(30, alpha=(900, 9000), k=(1, 9))] + [("a", 2, r) for r in many(31, beta=(900, 9000), k=(1, 9))]
+    rows += [("b", 1, r) for r in many(32, alpha=(900, 9000))] + [("b", 2, r) for r in many(33, gamma=(1, 20))]
+    assert changes(maps(spark, rows)) == [("a", 2, "usage.beta", "renamed"), ("b", 2, "usage.alpha", "removed"), ("b", 2, "usage.gamma", "added")]
+
+
+def test_fields_of_one_record_are_two_figures(spark):
+    """Alike in name and values, but somewhere they stand side by side."""
+    rows = [("a", 1, r) for r in many(30, read_tokens=(900, 9000))] + [("a", 2, r) for r in many(31, read_token=(900, 9000))]
+    assert changes(maps(spark, rows)) == [("a", 2, "usage.read_token", "renamed")]
+    rows += [("z", 1, r) for r in many(3, read_tokens=(900, 9000), read_token=(900, 9000))]
+    assert [c[2:] for c in changes(maps(spark, rows))] == [("usage.read_token", "added"), ("usage.read_tokens", "removed")]
+
+
+def test_names_decide_between_equals(spark):
+    rows = [("a", 1, r) for r in many(30, cache_read=(9, 99), other_thing=(9, 99))] + [("a", 2, r) for r in many(31, cacheRead=(9, 99), otherThing=(9, 99))]
+    found = drift.shape_changes(maps(spark, rows), "feed", "file_no").collect()
+    assert sorted((r.old_field, r.field, r.change) for r in found) == [("usage.cache_read", "usage.cacheRead", "renamed"), ("usage.other_thing", "usage.otherThing", "renamed")]
+
+
+def test_spellings_follow_renames(spark):
+    rows = [("a", f, r) for f, name in enumerate(["x", "y", "z"]) for r in many(30 + f, **{name: (900, 9000)})]
+    known = drift.spellings(drift.shape_changes(maps(spark, rows), "feed", "file_no"), ["usage.x", "usage.other"])
+    assert known == {"usage.x": ["usage.x", "usage.y", "usage.z"], "usage.other": ["usage.other"]}
 
 
 def test_unreadable_file_has_no_fields(spark):
@@ -61,7 +89,7 @@ def test_typed_columns_and_failed_casts(spark):
             ("a", 1, {"usage": {"input_tokens": [1, 2], "output_tokens": "x" * 100_000}}),
         ],
     )
-    got = {r.event_id: r for r in drift.typed_columns(m, {"i": "input", "r": "cache+read", "o": "output"}).collect()}
+    got = {r.event_id: r for r in drift.typed_columns(m, {"i": ["usage.input_tokens"], "r": ["usage.cacheReadInputTokens", "usage.cache.read_input_tokens"], "o": ["usage.output_tokens"]}).collect()}
     assert (got[0].i, got[0].r, got[0].failed_casts) == (12, 7, [])
     assert got[1].i is None and got[1].failed_casts[0].raw == "0.5"
     assert {f.path for f in got[2].failed_casts} == {"usage.input_tokens", "usage.output_tokens"}
@@ -80,5 +108,5 @@ def test_clashing_columns_and_nulls(spark):
     df = spark.createDataFrame(rows, "event_id int, feed string, file_no int, leaves int, body string")
     m = with_leaf_map(df, "body", "usage")
     assert changes(m) == [("a", 2, "usage.input_tokens", "removed")]
-    got = drift.typed_columns(m.withColumnRenamed("file_no", "tokens"), {"tokens": "input"}).collect()
+    got = drift.typed_columns(m.withColumnRenamed("file_no", "tokens"), {"tokens": ["usage.input_tokens"]}).collect()
     assert sorted(r.tokens or 0 for r in got) == [0, 0, 0, 3]
