@@ -80,49 +80,59 @@ def p3_periods(spark: SparkSession, d: str) -> DataFrame:
     return why.groupBy("ref_table", F.date_format("at", "yyyy-MM").alias("period"), "reason").agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
-#: The columns of the flat tables of texts, costs and addresses.
-CHILD_NAMES = ("type", "text", "content", "costUSD", "model", "addr")
+def body_nodes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "provider_event").filter(plain(F.col("provider")) == "claude").select("event_id", "body")
+    return nested.nodes(rows, "body", ("structured_output",))
 
 
-def body_nodes(spark: SparkSession, d: str, names: tuple[str, ...] = CHILD_NAMES) -> DataFrame:
-    rows = table(spark, d, "provider_event").filter(plain(F.col("provider")) == "claude").select("event_id", "body")
-    return nested.nodes(rows, "body", ("message", "modelUsage", "structured_output"), ("structured_output",), names)
+def body_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables of all schema paths of the bodies, stored."""
+    return store(nested.tables(body_nodes(spark, d), "event_id"), "tables")[0]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts, costs and addresses of the bodies, each by its event and its place or name there."""
-    n, _ = store(body_nodes(spark, d), "nodes")
-    texts = nested.text_blocks(n, "event_id").select("event_id", F.lit("text").alias("child"), F.col("item").cast("string").alias("item"))
-    costs = nested.keyed_costs(n, "event_id").select("event_id", F.lit("cost").alias("child"), "item")
-    addrs = nested.addresses(n, "event_id").select("event_id", F.lit("addr").alias("child"), "item")
+    t = body_tables(spark, d)
+    texts = nested.text_blocks(t, "event_id").select("event_id", F.lit("text").alias("child"), F.col("item").cast("string").alias("item"))
+    costs = nested.keyed_costs(t, "event_id").select("event_id", F.lit("cost").alias("child"), "item")
+    addrs = nested.addresses(t, "event_id").select("event_id", F.lit("addr").alias("child"), "item")
     return texts.unionAll(costs.unionAll(addrs).distinct())
 
 
+def _linked(rows: DataFrame, *cols) -> DataFrame:
+    return rows.select("event_id", nested.dewey(F.col("label")).alias("label"), nested.dewey(F.col("parent")).alias("parent"), *cols)
+
+
 def p5_texts(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of texts: event_id, label, item, text."""
-    t = nested.text_blocks(body_nodes(spark, d), "event_id")
-    return t.select("event_id", nested.dewey(F.col("label")).alias("label"), "item", "text")
+    """The flat table of texts: event_id, label, parent, item, text."""
+    return _linked(nested.text_blocks(body_tables(spark, d), "event_id"), "item", "text")
 
 
 def p5_costs(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of costs: event_id, label, model, cost."""
-    return nested.keyed_costs(body_nodes(spark, d), "event_id").select("event_id", nested.dewey(F.col("label")).alias("label"), F.col("item").alias("model"), F.col("cost").cast("double").alias("cost")).distinct()
+    """The flat table of costs: event_id, label, parent, model, cost."""
+    return _linked(nested.keyed_costs(body_tables(spark, d), "event_id"), F.col("item").alias("model"), F.col("cost").cast("double").alias("cost"))
 
 
 def p5_addresses(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of addresses: event_id, label, parent label, addr."""
-    a = nested.addresses(body_nodes(spark, d), "event_id")
-    parent = F.slice("label", F.lit(1), F.size("label") - 1)
-    return a.select("event_id", nested.dewey(F.col("label")).alias("label"), nested.dewey(parent).alias("parent"), F.col("item").alias("addr")).distinct()
+    """The flat table of addresses: event_id, label, parent, addr."""
+    return _linked(nested.addresses(body_tables(spark, d), "event_id"), F.col("item").alias("addr"))
+
+
+def p5_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every flat table by its schema path: its rows, how many hang on a row of another table, its columns."""
+    t = body_tables(spark, d)
+    rows = t.groupBy("schema_path").agg(F.count(F.lit(1)).alias("n_rows"), F.count("parent").alias("n_linked"))
+    names = t.select("schema_path", F.explode(F.map_keys("fields")).alias("name")).distinct().groupBy("schema_path").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("fields"))
+    return rows.join(names, "schema_path")
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes by schema path and kind: the tables a corpus of records falls into."""
-    n = body_nodes(spark, d, ()).select("event_id", "label", "schema_path", "kind").distinct()
+    """Nodes by schema path and kind, of each event once."""
+    n = body_nodes(spark, d).select("event_id", "label", "schema_path", "kind").distinct()
     return n.groupBy("schema_path", "kind").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_usage, p1_casts, p3_found, p3_periods, p5_found, p5_texts, p5_costs, p5_addresses, p5_nodes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_usage, p1_casts, p3_found, p3_periods, p5_found, p5_texts, p5_costs, p5_addresses, p5_tables, p5_nodes)}
 
 _RECORDS = "cur AS (SELECT addr & 4294967295 AS a, arg_max(imported_at, updated_at) AS since, max(updated_at) AS v FROM guest_function GROUP BY 1), ret AS (SELECT DISTINCT addr & 4294967295 AS a, retired_at AS until, updated_at AS v FROM guest_function), live AS (SELECT a, since, until FROM cur JOIN ret USING (a, v))"
 _REFS = "refs AS (SELECT 'xref' AS ref_table, xref_id AS ref_id, callee & 4294967295 AS a, noted_at AS ts FROM xref UNION ALL SELECT 'field_evidence', id, function_addr & 4294967295, created_at FROM field_evidence UNION ALL SELECT 'port', port_id, addr & 4294967295, updated_at FROM port)"
