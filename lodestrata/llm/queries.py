@@ -9,7 +9,7 @@ from lodestrata.functions.scalars import address_of, plain, source_key, unsigned
 from lodestrata.llm.bpe import VOCABULARY, encode_corpus
 from lodestrata.llm.mix import mix_sources
 from lodestrata.llm.runs import collapse_runs
-from lodestrata.llm.spam import spam_pages, spam_scores
+from lodestrata.llm.spam import connectives, spam_pages, spam_scores, word_uses
 from lodestrata.llm.topn import top_n
 from lodestrata.operators.evidence import current_rows
 from lodestrata.shared import table
@@ -86,10 +86,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     """The evidence for every document with a text."""
-    return spam_scores(_pages(spark, d), "doc_id", "text", "host").drop("host")
+    return spam_scores(_pages(spark, d), "doc_id", "text", "host")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top_hot, p4_found, p4_runs, p6_ids, p7_selection, p7_shares, p8_found, p8_scores)}
+def p8_connectives(spark: SparkSession, d: str) -> DataFrame:
+    """The words that mostly join sentences in this corpus, with their uses."""
+    return connectives(word_uses(table(spark, d, "documents").select("text"), "text"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_top_hot, p4_found, p4_runs, p6_ids, p7_selection, p7_shares, p8_found, p8_scores, p8_connectives)}
 _CURRENT = "cur AS (SELECT a, s, regexp_replace(upper(t), '\\s', '', 'g') AS t, h FROM (SELECT addr & 4294967295 AS a, subsystem_id AS s, tier AS t, hot AS h, retired_at AS r FROM guest_function QUALIFY row_number() OVER (PARTITION BY addr & 4294967295 ORDER BY updated_at DESC) = 1) WHERE r IS NULL AND s IS NOT NULL AND h IS NOT NULL)"
 _TOP = f"WITH {_CURRENT} SELECT s AS subsystem_id, t AS tier, a AS addr, h AS hot FROM cur WHERE t IN ('A', 'B', 'C', 'D', 'E', 'F', 'L', 'U') QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY h DESC, a) <= 10"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -101,4 +106,8 @@ SQL: dict[str, str] = {
     "p2_top_hot": _TOP,
     "p4_found": f"SELECT capture_id, thread, first_seq, last_seq FROM ({_RUNS})",
     "p4_runs": _RUNS,
+    "p8_connectives": r"""WITH p AS (SELECT unnest(string_split_regex(text, '[\r\n\x0b\x0c\x{85}\x{2028}\x{2029}]+|<[^<>]*>')) AS line FROM documents WHERE text IS NOT NULL),
+ q AS (SELECT unnest(string_split_regex(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS piece FROM p), w AS (SELECT piece, regexp_extract_all(lower(piece), '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*') AS words FROM q),
+ u AS (SELECT len(words) >= 5 AND regexp_matches(piece, '^\s*\p{Lu}') AND regexp_matches(piece, '[.!?]\s*$') AS s, unnest(words) AS word FROM w)
+ SELECT word, count(*) AS n, count(*) FILTER (s) AS n_sentence FROM u GROUP BY 1 HAVING count(*) >= 20 AND count(*) FILTER (s) >= 0.55 * count(*) AND NOT regexp_full_match(word, '\p{N}+')""",
 }

@@ -1,53 +1,49 @@
-"""Texts as segments: sentences, data, links, tags and list items.
+"""Texts as segments: prose and data on one side, list items, links and tags on the other.
 
-A plain scanner that the list-density evidence rests on. It keeps no state
-between texts and takes every text whole.
+A plain scanner that the list-density evidence rests on. It knows no words:
+which words join sentences and which endings name hosts is learned from the
+corpus (``spam.connectives``, ``spam.endings``) and handed in. It keeps no
+state between texts, takes every text whole, and tests every piece of a text
+alike, whatever its length.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Set
 
 from lodestrata.functions.shipping import ship
 
 ship(__name__)
 
-#: Words that carry sentences in English, German, French and Spanish (``for`` and its like, which keyword phrases use, are not among them).
-SENTENCE_WORDS = frozenset(
-    """a an the is are was were be been am do does did has have had not no nor but and or if so as at by from of on to that this these those it its they them their we us our i my me he she his her
-    you your when then than before after once until unless because while whether which what who where how there here both each every only one still also too again already never always mostly would could should can will may must
-    der die das den dem des ein eine einen einem ist sind war nicht nur aber und oder wenn dass wir es sich auf aus bei mit nach von vor zu im
-    außerdem beide müssen sein dieser diese dieses für über damit weil
-    à était été trop très où avant jusque entre sans peut être plus même
-    estaba más está sea fue muy este esta antes después sobre entre
-    le la les l un une des du de d est sont pas que qu qui ne n se s on nous il elle ce cette et ou mais dans sur pour par avec jusqu encore rien au aux
-    el los las una del es son no se y o pero que en con por para cuando donde hay nada lo su sin""".split()
-)
-JOINERS = frozenset("for in with near and or to of the".split())
-
-URL = re.compile(r"(?:https?://|www\.)[^\s<>()\[\]\"']+|(?<![\w@.-])(?:[a-z0-9][a-z0-9-]{0,62}\.){1,8}(?:test|example|invalid|com|net|org|info|biz|ru|io)(?:/[^\s<>()\[\]\"']*)?(?![\w.])", re.I)
-HOST = re.compile(r"\.(?:test|example|invalid|com|net|org|info|biz|ru|io)(?![\w])|www\.", re.I)
+#: Letters and figures that stand for Latin letters they look like.
+LOOKALIKES = str.maketrans("авекмнорстухіјѕ", "abekmhopctyxijs")
+FIGURES = str.maketrans("03", "oe")
+
+FULL = re.compile(r"(?:https?://|www\.)[^\s<>()\[\]\"']+", re.I)
+BARE = re.compile(r"(?<![\w@./-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+([a-z]{2,})\b(?:/[^\s<>()\[\]\"']*)?", re.I)
 HREF = re.compile(r"href=[\"']?([^\"'> ]+)")
+MARKUP = re.compile(r"</?[a-zA-Z!][^<>]*>")
+BREAK = re.compile("[\r\n\x0b\x0c\x85\u2028\u2029]+|<br\\s*/?>|</(?:li|p|h\\d|div|td|tr)>", re.I)
+HIDDEN = re.compile("(?<=\\s)[\u200b\u2060]+|[\u200b\u2060]+(?=\\s)")
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
+SPLIT = re.compile(r"[•·|;,:\t►»★✓]+|\s[-–—/*+]\s|->")
+BULLET = re.compile(r"^(?:[-*+>•·]+|\d+[.)]|\[\d+\])\s+|^#{1,6}\s+")
 BRACKETS = re.compile(r"[\[\]()<>]+")
 TRIM = " .:!?\"'*-\u2013\u2014[]()<>#"
-HIDDEN_BREAK = re.compile("(?<=\\s)[\\u200b\\u2060]+|[\\u200b\\u2060]+(?=\\s)")
-INVISIBLE = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
-MARKUP = re.compile(r"</?[a-zA-Z!][^<>]{0,2000}>")
-PRODUCT = re.compile(r"\b(?:MPN|SKU|Art|EAN|GTIN|ASIN|UPC)[-_ :#]?\d+|(?:\b(?:USD|EUR|GBP)|[$€£★])\s?\d+[.,]\d\d|★{2,}|\bin stock\b", re.I)
-HASHTAG = re.compile(r"#[^\W\d_]\w{2,}")
-CODE = re.compile(r"[{}=_\\@^~`]|::|->|//|/\*|\b0x[0-9a-f]+|\+0x|\b[0-9A-Fa-f]{8}\b|\w\(|\|-|--", re.I)
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-ITEM = re.compile(r"(?:[^\W\d_]+\d{0,4}|\d{4})(?:[ '’-]+(?:[^\W\d_]+\d{0,4}|\d{4}))*")
-LEET = re.compile(r"[a-z03]*(?:[a-z][03]|[03][a-z])[a-z03]*")
-LETTERS = {ord("0"): "o", ord("3"): "e"}
-LABEL = re.compile(r"(?:tags?|keywords?|key words|labels?|topics?|schlagw[oö]rter|stichworte|mots[- ]cl[eé]s|etiquetas|palabras clave)\s*[:=]\s*", re.I)
-PLAIN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*\d{0,4}|\d{4}")
-SPLIT = re.compile(r"[•·|;,\t►»★✓]+|\s[-–—/*+]\s|\s->\s|->")
-LINE = re.compile(r"[\r\n\x0b\x0c\x85]+|<br\s*/?>|</(?:li|p|h\d|div|td|tr)>", re.I)
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
-ROW = re.compile(r"\||[\"'{}\[\]]|[^\t]{0,80}\d[^\t]{0,80}\t|[^\t]{0,80}\t\d|(?:[^,]{0,60},){0,6}\s*-?\d+(?:\.\d+)?\s*(?:,|$)")
-BULLET = re.compile(r"^(?:[-*+>•·]+|\d+[.)]|\[\d+\])\s+|^#{1,6}\s+")
+PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*0?|0")
+ODD = re.compile(r"\d|[\u0400-\u04ff]")
+HEXED = re.compile(r"[0-9a-f]+|[^\W\d_]\d+")
+MIXED = re.compile(r"(?<![124-9])[03](?=[^\W\d_])|[^\W\d_][03]{2,}$")
+NUMBER = re.compile(r"(?<!\w)(?!\d{4}\b)\d+\b")
+RUN = re.compile(r"\d+")
+CODE = re.compile(r"[{}=_\\@^~`]|::|//|/\*|\b0x[0-9a-f]+|\+0x|\b(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{8}\b|\w\(|\|-|--", re.I)
+ROW = re.compile(r"^\s*[\"'{}\[\]|]")
+PRICE = re.compile(r"(?:\b[A-Z]{3}|[$€£¥])\s?\d+[.,]\d\d\b|[★☆]{2,}")
+HASHTAG = re.compile(r"#[^\W\d_]\w{2,}")
 
 
 def weight(text: str) -> int:
@@ -55,31 +51,65 @@ def weight(text: str) -> int:
     return len("".join(text.split()))
 
 
-def strung(piece: str) -> bool:
-    """Whether at least 95 % of a piece's tokens are plain words."""
-    tokens = piece.split()
-    return 20 * sum(PLAIN.fullmatch(t) is None for t in tokens) <= len(tokens)
+def folded(text: str) -> list[str]:
+    """The words of a text in lower case, look-alikes as the letters they stand for (0 and 3 only before a letter or doubled at the end), other figures as 0."""
+    words = WORD.findall(text.lower())
+    return words if not ODD.search(text) else [spelled(w) if ODD.search(w) else w for w in words]
+
+
+def spelled(word: str) -> str:
+    word = word.translate(LOOKALIKES)
+    if not HEXED.fullmatch(word) and MIXED.search(word):
+        word = word.translate(FIGURES)
+    return RUN.sub("0", word)
+
+
+def links_of(line: str, endings: Set[str]) -> list[str]:
+    """Links in a line: full ones, and bare hosts whose last label ends hosts elsewhere in the corpus."""
+    found = FULL.findall(line)
+    if "." in line:
+        rest = FULL.sub(" ", line) if found else line
+        found += [m.group() for m in BARE.finditer(rest) if m.group(1).lower() in endings]
+    return found
+
+
+def link_phrase(link: str) -> str:
+    """A link without its host, as words."""
+    return "§ " + " ".join(folded(re.sub(r"^(?:https?://)?[^/?#]*", "", link, flags=re.I)))
+
+
+def listing(parts: list[str], connectives: Set[str], found: list) -> int:
+    """Parts of a list go to ``found`` as items where they are plain words; the weight of the others."""
+    told = 0
+    for p in parts:
+        p = p.strip(TRIM)
+        own = folded(p)
+        if not own:
+            continue
+        plain = sum(PLAIN.fullmatch(w) is not None for w in own) - len(NUMBER.findall(p))
+        joined = sum(map(connectives.__contains__, own))
+        if 10 * plain >= 9 * len(own) and 2 * joined <= len(own) and 10 * len(own) >= 9 * len(p.split()):
+            found.append(("item", " ".join(own), weight(p)))
+        else:
+            told += weight(p)
+    return told
 
 
-def scan(text: str) -> dict:
-    """Weights by kind, and the list items.
+def scan(text: str, connectives: Set[str], endings: Set[str]) -> tuple[int, list[tuple[str, str, int]]]:
+    """(weight of prose and data, segments); a segment is (kind, phrase, weight).
 
-    Kinds: ``links``, ``tags`` (hashtags, product lines), ``items`` (short
-    phrases without a sentence, kept as (phrase, weight)), ``stuffed``
-    (sentences that repeat one word of the page) and ``rest``.
+    Kinds: ``link`` (bare links), ``tag`` (hashtags, priced lines), ``stuffed``
+    (sentences that press one word of the page), ``item`` (plain words without
+    a sentence).
     """
-    text = text.replace("\u00a0", " ").replace("\u2028", " ")
+    text = text.replace("\u00a0", " ")
     if not text.isascii():
-        text = INVISIBLE.sub("", HIDDEN_BREAK.sub("\u2022", text))
-    found = {"links": 0, "tags": 0, "stuffed": 0, "rest": 0, "n_links": 0, "n_tags": 0, "items": []}
-    linking = "://" in text or HOST.search(text) is not None
-    counts = Counter(WORD.findall((URL.sub(" ", text) if linking else text).lower()))
-    if 5 * sum(n for w, n in counts.items() if LEET.fullmatch(w)) >= counts.total():
-        text = text.translate(LETTERS)
-        counts = Counter(WORD.findall(text.lower()))
+        text = INVISIBLE.sub("", HIDDEN.sub("\u2022", text))
+    counts = Counter(folded(text))
     least = max(6, 0.06 * counts.total())
-    pressed = {w for w, n in counts.items() if n >= least and len(w) > 2 and w not in SENTENCE_WORDS and w not in JOINERS and not w.isdigit()}
-    for line in LINE.split(text):
+    pressed = {w for w, n in counts.items() if n >= least and len(w) > 2 and w not in connectives and w != "0"}
+    told, found = 0, []
+    for line in BREAK.split(text):
         line = line.strip()
         if not line:
             continue
@@ -87,53 +117,46 @@ def scan(text: str) -> dict:
         if "<" in line:
             hidden = HREF.findall(line)
             line = MARKUP.sub(" ", line)
-        urls = URL.findall(line) if linking else []
-        if not urls and not hidden and (ROW.match(line) or (len(line) < 120 and CODE.search(line))):
-            found["rest"] += weight(line)
-            continue
-        bare = URL.sub(" ", line) if urls else line
-        linked, told = sum(map(weight, [*urls, *hidden])), found["rest"]
-        found["n_links"] += len(urls) + len(hidden)
+        links = links_of(line, endings)
+        bare = line
+        for link in links:
+            bare = bare.replace(link, " ", 1)
+        links += hidden
+        if links:
+            bare = BRACKETS.sub(" ", bare)
         bare = BULLET.sub("", bare.strip())
+        before = told
+        if not links and ROW.search(bare):
+            told += weight(bare)
+            continue
         if bare.count("#") >= 3 and len(tags := HASHTAG.findall(bare)) >= 3:
-            found["tags"] += sum(map(len, tags))
-            found["n_tags"] += len(tags)
+            found.extend(("tag", " ".join(folded(t)), len(t)) for t in tags)
             bare = HASHTAG.sub(" ", bare)
-        if urls or hidden:
-            bare = BRACKETS.sub(" ", bare)
-        if not bare.strip(" -\u2013\u2014:;,.|>*"):
-            found["links"] += linked
-            continue
-        if len(bare) < 200 and PRODUCT.search(bare):
-            found["tags"] += weight(bare) + linked
-            found["n_tags"] += 1
-            continue
-        if (label := LABEL.match(bare)) and len(listed := [x for x in re.split("[,;|]", bare[label.end() :]) if x.strip()]) > 1:
-            found["tags"] += weight(bare) + linked
-            found["n_tags"] += len(listed)
-            continue
         for piece in SENTENCE.split(bare):
-            own = WORD.findall(piece.lower())
+            own = folded(piece)
             if not own:
                 continue
-            function = sum(map(SENTENCE_WORDS.__contains__, own)) / len(own)
+            n, marks = len(own), len(CODE.findall(piece))
+            joined = sum(map(connectives.__contains__, own)) / n
+            parts = SPLIT.split(piece)
+            listed = len(parts) >= 5 and n <= 6 * len(parts)
             press = max(map(own.count, pressed), default=0) if pressed else 0
-            if press >= 2 and press >= 0.16 * len(own) and not CODE.search(piece):
-                found["stuffed"] += weight(piece)
-            elif (function >= 0.12 and len(own) >= 4) or (len(own) >= 5 and piece.rstrip()[-1] in ".!?" and piece[0].isupper()):
-                found["rest"] += weight(piece)
-            elif function < 0.08 and len(own) >= 10 and strung(piece):
-                # Keywords strung together without a mark between them.
-                found["items"].extend((" ".join(own[i : i + 5]), sum(map(len, own[i : i + 5]))) for i in range(0, len(own), 5))
+            if marks * 8 >= n:
+                told += weight(piece)
+            elif listed and joined < 0.5:
+                told += listing(parts, connectives, found)
+            elif PRICE.search(piece) and joined < 0.25:
+                found.append(("tag", " ".join(own), weight(piece)))
+            elif press >= 2 and press >= 0.16 * n:
+                found.append(("stuffed", " ".join(own), weight(piece)))
+            elif (joined >= 0.25 and n >= 4) or (n >= 5 and joined >= 0.1 and piece.rstrip()[-1] in ".!?" and piece.lstrip()[0].isupper()):
+                told += weight(piece)
             else:
-                for p in SPLIT.split(piece):
-                    p = p.strip(TRIM)
-                    if not p:
-                        continue
-                    if ITEM.fullmatch(p) and len(p.split()) <= 9 and not CODE.search(p):
-                        found["items"].append((" ".join(p.lower().split()), weight(p)))
-                    else:
-                        found["rest"] += weight(p)
+                told += listing(parts, connectives, found)
         # A link that the line says something about is told, not bare.
-        found["rest" if linked and found["rest"] - told >= 20 else "links"] += linked
-    return found
+        if links:
+            if told - before >= 20:
+                told += sum(map(weight, links))
+            else:
+                found.extend(("link", link_phrase(x), weight(x)) for x in links)
+    return told, found

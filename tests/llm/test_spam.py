@@ -1,7 +1,9 @@
 import random
 
-from lodestrata.llm.segments import scan
-from lodestrata.llm.spam import shingles, spam_pages, spam_scores
+from lodestrata.llm.segments import folded, scan
+from pyspark.sql import functions as F
+
+from lodestrata.llm.spam import phrase_shingles, spam_pages, spam_scores
 
 PROSE = "The queue is read once the session ends. We saw that the header stays where it was, and nobody had asked why. If you copy the record, the counter is reset as well."
 
@@ -40,27 +42,39 @@ def frame(spark, texts):
     return spark.createDataFrame([(k, v, f"h{k % 4}") for k, v in texts.items()], "doc_id long, text string, host string")
 
 
+def crowd(texts, n=4, first=1001):
+    """The same pages on several hosts, under other ids."""
+    return {first * k + i: t for k in range(1, n + 1) for i, t in texts.items()}
+
+
 def test_good_and_bad_pages(spark):
     good, bad = pages()
-    got = {r.doc_id for r in spam_pages(frame(spark, good | bad), "doc_id", "text", "host").collect()}
+    got = {r.doc_id % 1001 for r in spam_pages(frame(spark, crowd(good | bad)), "doc_id", "text", "host").collect()}
     assert got == set(bad)
 
 
-def test_phrases_on_many_hosts_count(spark):
+def test_replicated_phrases_decide(spark):
+    """A list of keywords is spam where its phrases stand on other hosts, and only there."""
     words = "amber basil cedar delta ember fjord grove haven inlet jetty knoll larch".split()
     page = ", ".join(f"{a} {b}" for a, b in zip(words, words[1:]))
-    alone = frame(spark, {1: page})
-    assert spam_pages(alone, "doc_id", "text", "host").count() == 0
-    spread = spark.createDataFrame([(i, page, f"h{i}") for i in range(4)], "doc_id long, text string, host string")
-    assert spam_pages(spread, "doc_id", "text", "host").count() == 4
-    one_host = spark.createDataFrame([(i, page, "h") for i in range(4)], "doc_id long, text string, host string")
-    assert spam_pages(one_host, "doc_id", "text", "host").count() == 0
+    pick = lambda rows: spam_pages(spark.createDataFrame(rows, "doc_id long, text string, host string"), "doc_id", "text", "host").count()
+    assert pick([(1, page, "h")]) == 0
+    assert pick([(i, page, "h") for i in range(4)]) == 0
+    assert pick([(i, page, f"h{i}") for i in range(4)]) == 4
+    half = [(0, page, "a"), (1, ", ".join(f"{b} {a}" for a, b in zip(words, words[1:])), "b")]
+    assert pick(half) == 0
+
+
+def test_phrases_shifted_in_run_on_pages(spark):
+    words = [f"{a}{b}" for a in ("red", "blue", "grey", "dark") for b in ("lamp", "door", "stone", "wheel")]
+    rows = [(k, " ".join(words[k:] + words[:k]), f"h{k}") for k in range(6)]
+    assert spam_pages(spark.createDataFrame(rows, "doc_id long, text string, host string"), "doc_id", "text", "host").count() == 6
 
 
 def test_nulls_empties_and_clashing_names(spark):
     df = spark.createDataFrame([(1, None, "h"), (2, "", None), (3, " ", None), (4, "widget, " * 30, None), (4, "widget, " * 30, None)], "doc_id long, items string, links string")
     got = spam_scores(df, "doc_id", "items", "links")
-    assert sorted((r.doc_id, r.score > 0.5) for r in got.collect()) == [(3, False), (4, True), (4, True)]
+    assert sorted((r.doc_id, r.score > 0.5) for r in got.collect()) == [(3, False), (4, False), (4, False)]
     assert spam_pages(df.limit(0), "doc_id", "items", "links").count() == 0
 
 
@@ -69,10 +83,11 @@ def test_scan_is_linear():
 
     for bad in ("a" * 36_000, "-" * 36_000, "a." * 18_000, "<a" * 18_000, "http://" * 5000, "#a" * 18_000, "1," * 18_000, "'" * 36_000):
         t = time.time()
-        scan(bad)
+        scan(bad, frozenset(["the"]), frozenset(["test"]))
         assert time.time() - t < 2
 
 
-def test_shingles():
-    assert shingles("a b c d e") == ["a b c d e"]
-    assert shingles("a b c d e f") == ["a b c d e", "b c d e f"]
+def test_shingles_and_spelling(spark):
+    rows = spark.createDataFrame([("a",), ("a b",), ("a b c",)], "p string").select(phrase_shingles(F.col("p"), 2)).collect()
+    assert [r[0] for r in rows] == [["a"], ["a b"], ["a b", "b c"]]
+    assert folded("B3st c0nv3rt3r fr33 patchеr decompiler3 r31 820d7ce0 2030") == ["best", "converter", "free", "patcher", "decompiler0", "r0", "0d0ce0", "0"]
