@@ -109,5 +109,5 @@ SQL: dict[str, str] = {
     "p8_connectives": r"""WITH p AS (SELECT unnest(string_split_regex(text, '[\r\n\x0b\x0c\x{85}\x{2028}\x{2029}]+|<[^<>]*>')) AS line FROM documents WHERE text IS NOT NULL),
  q AS (SELECT unnest(string_split_regex(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS piece FROM p), w AS (SELECT piece, regexp_extract_all(lower(piece), '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*') AS words FROM q),
  u AS (SELECT len(words) >= 5 AND regexp_matches(piece, '^\s*\p{Lu}') AND regexp_matches(piece, '[.!?]\s*$') AS s, unnest(words) AS word FROM w)
- SELECT word, count(*) AS n, count(*) FILTER (s) AS n_sentence FROM u GROUP BY 1 HAVING count(*) >= 20 AND count(*) FILTER (s) >= 0.55 * count(*) AND NOT regexp_full_match(word, '\p{N}+')""",
+ SELECT word, count(*) AS n, count(*) FILTER (s) AS n_sentence FROM u GROUP BY 1 HAVING count(*) >= 20 AND 100 * count(*) FILTER (s) >= 55 * count(*) AND NOT regexp_full_match(word, '\p{N}+')""",
 }

@@ -61,7 +61,7 @@ def word_uses(texts: DataFrame, text: str) -> DataFrame:
 
 def connectives(uses: DataFrame, share: float = 0.55, least: int = 20) -> DataFrame:
     """The words of ``word_uses`` that mostly join sentences: used ``least`` times or more, ``share`` of them in sentences."""
-    return uses.filter((F.col("n") >= least) & (F.col("n_sentence") >= share * F.col("n")) & ~F.col("word").rlike(r"^\p{N}+$"))
+    return uses.filter((F.col("n") >= least) & (100 * F.col("n_sentence") >= round(100 * share) * F.col("n")) & ~F.col("word").rlike(r"^\p{N}+$"))
 
 
 def endings(texts: DataFrame, text: str, least: int = 3) -> DataFrame:
