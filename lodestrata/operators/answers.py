@@ -52,27 +52,29 @@ def paired(df: DataFrame, id: str, asked: str, payload: str) -> DataFrame:
     return pairs.select(id, "pos", F.col("p.asked").alias("asked"), with_defaults(F.col("p.r")).alias("answer"))
 
 
-def address_expression(w: Column, load: str = "LOAD_U32") -> Column:
-    """The address a window stands for as text: its base, one load for each step of ``deref``, then its offset."""
-    plus = lambda e, n: F.when(n != 0, F.concat(e, F.lit(" + "), n.cast("string"))).otherwise(e)
-    start = F.concat(F.lit("ctx."), w["base"], F.lit(".u32"))
-    walked = F.aggregate(w["deref"], start, lambda e, step: F.concat(F.lit(f"{load}("), plus(e, step), F.lit(")")))
-    return plus(walked, w["offset"])
+#: The words of the generated text.
+LOAD, START, REGISTER = "LOAD_U32", "ctx.%s.u32", {"r": "Gpr", "f": "Fpr", "v": "Vr"}
+RETURNS, NO_RETURN = {"r3": "kReturnR3", "f1": "kReturnF1", "fp1": "kReturnF1"}, "kReturnNone"
+
+
+def address_expression(w: Column, load: str = LOAD) -> Column:
+    """The address a window stands for as text: all loads open before its base, each step of ``deref`` closes one, its offset comes last."""
+
+    def plus(n: Column) -> Column:
+        return F.when(n == 0, F.lit("")).otherwise(F.concat(F.lit(" + "), n.cast("string")))
+
+    closed = F.array_join(F.transform(w["deref"], lambda step: F.concat(plus(step), F.lit(")"))), "")
+    return F.concat(F.repeat(F.lit(f"{load}("), F.size(w["deref"])), F.format_string(START, w["base"]), closed, plus(w["offset"]))
 
 
 def result_mask(registers: Column) -> Column:
-    """The registers to compare as text, ``kReturnNone`` for none that is known."""
-
-    def one(r: Column) -> Column:
-        n = F.regexp_extract(r, r"^[rfv](\d+)$", 1)
-        return (
-            F.when(r == "r3", "kReturnR3")
-            .when(r.isin("f1", "fp1"), "kReturnF1")
-            .when(n != "", F.concat(F.when(r.startswith("r"), "Gpr(").when(r.startswith("f"), "Fpr(").otherwise("Vr("), n, F.lit(")")))
-        )
-
-    known = F.filter(F.transform(registers, lambda r: one(F.lower(F.trim(r)))), lambda x: x.isNotNull())
-    return F.when(F.size(known) > 0, F.array_join(known, " | ")).otherwise("kReturnNone")
+    """The registers to compare as text, the word for none where none is known."""
+    returns = F.create_map(*[F.lit(x) for pair in RETURNS.items() for x in pair])
+    banks = F.create_map(*[F.lit(x) for pair in REGISTER.items() for x in pair])
+    named = F.transform(registers, lambda r: F.lower(F.trim(r)))
+    numbered = F.filter(named, lambda r: F.try_element_at(returns, r).isNotNull() | r.rlike(f"^[{''.join(REGISTER)}][0-9]+$"))
+    words = F.transform(numbered, lambda r: F.coalesce(F.try_element_at(returns, r), F.concat(F.try_element_at(banks, F.substring(r, 1, 1)), F.lit("("), F.substr(r, F.lit(2)), F.lit(")"))))
+    return F.coalesce(F.nullif(F.array_join(words, " | "), F.lit("")), F.lit(NO_RETURN))
 
 
 def render(answer: Column) -> Column:

@@ -25,10 +25,9 @@ def integer(text: str) -> int | None:
         return None
 
 
-def low16(v: int) -> int:
-    """The low half as a signed number."""
-    v &= 0xFFFF
-    return v - 0x10000 if v & 0x8000 else v
+def lower_half(v: int) -> int:
+    """The number from -2^15 up that equals ``v`` modulo 2^16."""
+    return (v + 0x8000) % 0x10000 - 0x8000
 
 
 def constants(body: str | None) -> list[int]:
@@ -48,12 +47,12 @@ def constants(body: str | None) -> list[int]:
             known[target] = (n << 16) & MASK
             continue
         if op in ("addi", "addic", "subi", "ori") and len(args) == 3 and args[1] in known and (n := integer(args[2])) is not None:
-            step = n & 0xFFFF if op == "ori" else low16(-n if op == "subi" else n)
+            step = n & 0xFFFF if op == "ori" else lower_half(-n if op == "subi" else n)
             value = known[args[1]] | step if op == "ori" else (known[args[1]] + step) & MASK
             known[target] = value
         elif len(args) == 2 and (m := INDEXED.match(args[1])):
             if m[2] in known and (n := integer(m[1])) is not None:
-                value = (known[m[2]] + low16(n)) & MASK
+                value = (known[m[2]] + lower_half(n)) & MASK
             if target and not op.startswith("st"):
                 known.pop(target, None)
         elif target and not op.startswith(("cmp", "st", "b", "mt")):

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.operators.skew import SALT, hot_keys, salted, skew_join
-from lodestrata.shared import discard, store
+from lodestrata.shared import discard, store, store_counted
 
 
 def degrees(edges: DataFrame, node: str, out: str = "degree") -> DataFrame:
@@ -54,14 +54,6 @@ def closure(edges: DataFrame, seeds: DataFrame, src: str, dst: str, max_depth: i
     return spark.read.schema(schema).parquet(*paths)
 
 
-def stop_counts(edges: DataFrame, reached: DataFrame, src: str, dst: str, kind: str, stops: tuple[str, ...], max_depth: int = 0) -> DataFrame:
-    """Distinct (expanded caller, callee) by stopped kind; nodes at ``max_depth`` are not expanded."""
-    grown = reached.filter(F.col("depth") < max_depth) if max_depth else reached
-    left, right = salted(edges.filter(F.col(kind).isin(*stops)).withColumn("node", F.col(src)), grown.select("node"), ["node"], [])
-    hit = left.join(right, ["node", SALT], "left_semi")
-    return hit.select(src, dst, kind).distinct().groupBy(kind).agg(F.count(F.lit(1)).alias("n_stopped"))
-
-
 def stop_reasons(edges: DataFrame, reached: DataFrame, src: str, dst: str, kind: str, stops: tuple[str, ...], runtime: DataFrame, blind: str, max_depth: int = 0) -> DataFrame:
     """Why a closure stopped: kind, n_stopped.
 
@@ -96,7 +88,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         """One star round over about ``n`` arcs; ``whole`` looks both ways and moves the larger neighbours."""
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if whole else pairs
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        left, right = salted(both, least, ["u"], hot_keys(both, ["u"], total=n))
+        left, right = salted(both, least, ["u"], hot_keys(both, ["u"], n))
         j = left.join(right, ["u", SALT])
         moved = j.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if whole else j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(j.select("u", F.col("m").alias("v")))
         return moved.filter("u <> v").distinct()
@@ -140,10 +132,10 @@ def propagate_labels(edges: DataFrame, a: str, b: str, half, rounds: int = 12) -
             tally = votes.groupBy("node", "label").agg(F.sum("n").alias("n"))
             best = tally.groupBy("node").agg(F.max(F.struct(F.col("n"), (-F.col("label")).alias("low"))).alias("x")).select("node", (-F.col("x.low")).alias("next"))
             following = labels.join(best, "node", "left").select("node", F.coalesce("next", "label").alias("label"), (F.coalesce(F.col("next") != F.col("label"), F.lit(False)) | (F.lit(not side) & F.col("moved"))).alias("moved"))
-            new, new_at = store(following, "labels")
+            new, new_at, seen = store_counted(following, "labels", moved=F.count_if("moved"))
             discard(edges.sparkSession, at)
             labels, at = new, new_at
-        if not labels.filter("moved").limit(1).count():
+        if not seen["moved"]:
             steady = True
             break
     return labels.select("node", "label", F.lit(steady).alias("converged"))
@@ -177,6 +169,11 @@ def saturating_score(terms: dict[str, tuple[float, float]], digits: int | None =
     return capped if digits is None else F.round(capped, digits)
 
 
+def size_fit(size: Column, best: int, width: int) -> Column:
+    """1 at the best size, falling to 0 at ``width`` from it."""
+    return F.lit(1.0) - F.least(F.lit(1.0), F.abs(size - best).cast("double") / width)
+
+
 def number_in_order(df: DataFrame, order: str, out: str, start: int = 1) -> DataFrame:
     """Consecutive numbers by a unique column, without gathering the rows in one task.
 

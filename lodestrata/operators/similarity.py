@@ -81,7 +81,9 @@ def families(df: DataFrame, id: str, items: str, least: int = 6, mode: str = "fa
     firsts = keyed.groupBy("bucket").agg(F.min("head").alias("first"))
     links = skew_join(keyed, firsts, ["bucket"]).select(F.col("first").alias("a"), F.col("head").alias("b"))
     roots = components(links, "a", "b")
-    member = shaped.select("node", "shape").join(heads.select("shape", F.col("head")), "shape").join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("node", F.coalesce("root", "head").alias("root"))
+    # Classes of copies and families may be large, so their keys are salted.
+    classes = skew_join(shaped.select("node", "shape"), heads.select("shape", "head"), ["shape"])
+    member = skew_join(classes.select("node", "head"), roots.select(F.col("node").alias("head"), "root"), ["head"], "left").select("node", F.coalesce("root", "head").alias("root"))
     sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     numbered = number_in_order(sizes, "root", "family_id")
-    return member.join(numbered, "root").select(F.col("node").alias(id), "root", F.col("family_id").cast("bigint").alias("family_id"), "size")
+    return skew_join(member, numbered, ["root"]).select(F.col("node").alias(id), "root", F.col("family_id").cast("bigint").alias("family_id"), "size")

@@ -1,9 +1,11 @@
 """Joins that survive hot keys.
 
-A key is hot when it holds more than 1/(4 P) of the rows (P shuffle
-partitions), so there are at most 4 P hot keys whatever the input: that list
-alone is broadcast. Rows of hot keys are salted P ways; the other side's rows
-of those keys are repeated once for each salt. Nothing is dropped.
+A key is hot when it holds more than a fair share, 1/P, of the rows (P shuffle
+partitions), so there are fewer than P hot keys whatever the input: that list
+alone is broadcast. A hot key's rows are salted as many ways as it holds fair
+shares, and the other side's rows of that key are repeated so often: all
+repeats together are fewer than 2 P rows for each row a key has there. A null
+key joins nothing and is spread like a hot one. Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -18,29 +20,32 @@ from lodestrata.shared import default_partitions
 SALT = "__salt"
 
 
-def hot_keys(df: DataFrame, keys: list[str], least: int = 50_000, total: int | None = None) -> list[tuple]:
-    """Keys with more than 1/(4 P) of all rows, where there are more than ``least``.
-
-    ``total`` is the number of rows, or a bound of it, where it is known."""
-    ways = 4 * default_partitions(df.sparkSession)
-    total = df.count() if total is None else total
-    if total <= least:  # all rows together are no burden to one task
-        return []
+def hot_keys(df: DataFrame, keys: list[str], total: int | None = None) -> list[tuple]:
+    """(key columns, ways) of the keys with more than a fair share of all rows; ``total`` is their number where it is known."""
+    parts = default_partitions(df.sparkSession)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return [tuple(r[k] for k in keys) for r in counts.filter(F.col("__n") > F.lit(total // ways)).select(*keys).collect()]
+    whole = F.lit(total) if total is not None else df.count()
+    ways = F.ceil(F.col("__n") * parts / F.greatest(F.lit(whole), F.lit(1))).cast("int")
+    return [tuple(r) for r in counts.select(*keys, ways.alias("__ways")).filter("__ways > 1").collect()]
 
 
 def salted(left: DataFrame, right: DataFrame, keys: list[str], hot: list[tuple]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a salt that only differs from 0 for the hot keys of ``left``."""
+    """Both sides with a salt that only differs from 0 for the hot keys of ``left`` and for null keys."""
     if not hot:
         return left.withColumn(SALT, F.lit(0)), right.withColumn(SALT, F.lit(0))
-    spark, ways = left.sparkSession, default_partitions(left.sparkSession)
-    listed = F.broadcast(spark.createDataFrame(hot, left.select(*keys).schema).withColumn("__hot", F.lit(True)))
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    spark = left.sparkSession
+    schema = StructType([*left.select(*keys).schema.fields, StructField("__ways", IntegerType())])
+    known = [r for r in hot if None not in r[:-1]]
+    empty = any(None in r[:-1] for r in hot)
+    listed = F.broadcast(spark.createDataFrame(known, StructType([StructField(f.name, f.dataType, True) for f in schema.fields])))
     others = [c for c, t in left.dtypes if c not in keys and not t.startswith(("map", "variant"))]
-    spread = F.pmod(F.xxhash64(*others) if others else F.monotonically_increasing_id(), F.lit(ways)).cast("int")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
-    a = left.join(listed, keys, "left").withColumn(SALT, F.when(F.col("__hot"), spread).otherwise(F.lit(0))).drop("__hot")
-    b = right.join(listed, keys, "left").withColumn(SALT, F.explode(copies)).drop("__hot")
+    spread = F.xxhash64(*others) if others else F.monotonically_increasing_id()
+    void = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+    ways = F.when(void, F.lit(default_partitions(spark) if empty else 1)).otherwise(F.coalesce("__ways", F.lit(1)))
+    a = left.join(listed, keys, "left").withColumn(SALT, F.pmod(spread, ways).cast("int")).drop("__ways")
+    b = right.join(listed, keys, "left").withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce("__ways", F.lit(1)) - 1))).drop("__ways")
     return a, b
 
 

@@ -90,9 +90,23 @@ def weakest(verdicts: DataFrame, sessions: DataFrame, id: str, result: str = "ve
     return verdicts.filter(F.col("result") == result).join(good, id, "left_semi").groupBy("addr").agg(F.count(F.lit(1)).alias("n_sessions"), F.min(F.coalesce("compared", F.lit(0))).alias("least"))
 
 
-def stale(rows: DataFrame, build: str, latest: int | None) -> DataFrame:
-    """Rows built by another build than the latest, or by none."""
-    return rows.filter(~F.col(build).eqNullSafe(F.lit(latest)))
+def stale(rows: DataFrame, build: str, latest: DataFrame) -> DataFrame:
+    """Rows built by another build than the one that ``latest`` (one row, one column) names, or by none."""
+    one = latest.select(F.col(latest.columns[0]).alias("__latest"))
+    return rows.join(F.broadcast(one), ~F.col(build).eqNullSafe(F.col("__latest"))).drop("__latest")
+
+
+def decided(functions: DataFrame, least: DataFrame, calls: int = 100, per_line: float = 1.0) -> DataFrame:
+    """(addr, calls, lines, decision): ``held`` under ``calls`` calls or under ``per_line`` calls a line, else ``promoted``.
+
+    ``functions``: addr and the line counts of its forms, of which the first
+    that is neither null nor 0 counts (1 if none); ``least`` as of ``weakest``.
+    Functions without coverage are left out.
+    """
+    forms = [F.nullif(F.col(c), F.lit(0)) for c in functions.columns if c != "addr"]
+    j = functions.withColumn("lines", F.coalesce(*forms, F.lit(1))).join(least.select("addr", F.col("least").alias("calls")), "addr")
+    held = (F.col("calls") < calls) | (F.col("calls") / F.col("lines") < per_line)
+    return j.select("addr", "calls", "lines", F.when(held, "held").otherwise("promoted").alias("decision"))
 
 
 def conclusive(result: str = "result", compared: str = "compared"):

@@ -11,7 +11,7 @@ def next_items(df: DataFrame, where: list[Column], order: list[Column], limit: i
     """Rows that meet all conditions (null meets none), in order, the first ``limit`` (0: all)."""
     for c in where:
         df = df.filter(F.coalesce(c, F.lit(False)))
-    df = df.orderBy(*order)
+    df = df.orderBy(*order) if order else df
     return df.limit(limit) if limit else df
 
 

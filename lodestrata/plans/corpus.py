@@ -109,11 +109,6 @@ FOLLOW = f"{CUR}, {EDGE}, fe AS (SELECT DISTINCT caller, callee FROM de WHERE ca
 FOLLOW += ", ".join(f"l{i} AS (SELECT node, min(depth) AS depth FROM (SELECT * FROM l{i - 1} UNION ALL SELECT callee, {i} FROM fe JOIN l{i - 1} ON caller = node) GROUP BY 1)" for i in (1, 2, 3))
 
 
-@query(f"WITH {FOLLOW} SELECT * FROM l3")
-def closure_depth(spark, d):
-    return reached(spark, d)
-
-
 def runtime(spark, d):
     """Targets of the runtime: symbols, and functions flagged import or helper."""
     flagged = evidence.current_rows(table(spark, d, "guest_function").withColumn("addr", unsigned32(F.col("addr"))), "addr", "updated_at", ["is_import", "is_helper"]).filter("is_import or is_helper").select("addr")
@@ -134,7 +129,7 @@ WHOLE = f"""{CUR}, {EDGE}, rt AS (SELECT addr & 4294967295 AS addr FROM runtime_
 
 
 @query(f"WITH RECURSIVE {WHOLE} SELECT node, depth FROM cl")
-def closure_whole(spark, d):
+def closure_depth(spark, d):
     return reached_whole(spark, d)
 
 
@@ -143,17 +138,12 @@ def closure_frontier(spark, d):
     return reached(spark, d).filter("depth = 3").select("node", F.lit("max-depth").alias("reason"))
 
 
-@query(f"WITH {FOLLOW} SELECT kind, count(*) AS n_stopped FROM (SELECT DISTINCT caller, callee, kind FROM e JOIN l3 ON caller = node WHERE depth < 3 AND kind IN ('helper', 'import', 'indirect')) GROUP BY 1")
-def closure_stopped(spark, d):
-    return graph.stop_counts(edges(spark, d), reached(spark, d), "caller", "callee", "kind", ("helper", "import", "indirect"), 3)
-
-
 @query(
     f"""WITH RECURSIVE {WHOLE}, hit AS (SELECT e.* FROM e JOIN cl ON node = caller)
  SELECT kind, count(*) AS n_stopped FROM (SELECT DISTINCT caller, callee, kind FROM hit WHERE callee IS NOT NULL AND kind IN ('helper', 'import')
  UNION ALL (SELECT DISTINCT caller, callee, 'runtime' FROM hit WHERE kind NOT IN {STOPS} AND callee IN (SELECT addr FROM rt)) UNION ALL SELECT caller, callee, kind FROM hit WHERE kind = 'indirect') GROUP BY 1"""
 )
-def closure_stopped_whole(spark, d):
+def closure_stopped(spark, d):
     return graph.stop_reasons(edges(spark, d), reached_whole(spark, d), "caller", "callee", "kind", STOPS, runtime(spark, d), "indirect")
 
 
@@ -170,10 +160,6 @@ def half(node):
 
 
 def labels(spark, d):
-    return graph.propagate_labels(direct(spark, d), "caller", "callee", half, 3).select("node", "label")
-
-
-def labels_whole(spark, d):
     """Labels after up to 12 rounds, fewer if a round moves nothing, and whether they settled."""
     return graph.propagate_labels(direct(spark, d), "caller", "callee", half)
 
@@ -190,32 +176,21 @@ def _half_steps(rounds: int) -> str:
     return ", ".join(parts) + f", lab AS (SELECT * FROM s{2 * rounds})"
 
 
-LABELS = _half_steps(3)
-LABELS_WHOLE = _half_steps(12).removesuffix("lab AS (SELECT * FROM s24)") + "lab AS MATERIALIZED (SELECT *, NOT EXISTS (SELECT 1 FROM s24 a JOIN s22 b USING (node) WHERE a.label <> b.label) AS converged FROM s24)"
+LABELS = _half_steps(12).removesuffix("lab AS (SELECT * FROM s24)") + "lab AS MATERIALIZED (SELECT *, NOT EXISTS (SELECT 1 FROM s24 a JOIN s22 b USING (node) WHERE a.label <> b.label) AS converged FROM s24)"
 
 
-@query(f"WITH {LABELS} SELECT node, label FROM lab")
-def lpa_3rounds(spark, d):
+@query(f"WITH {LABELS} SELECT node, label, converged FROM lab")
+def label_propagation(spark, d):
     return labels(spark, d)
 
 
-@query(f"WITH {LABELS_WHOLE} SELECT node, label, converged FROM lab")
-def lpa_whole(spark, d):
-    return labels_whole(spark, d)
-
-
 @query(
     f"""WITH {LABELS}, z AS (SELECT label, count(*) AS size FROM lab GROUP BY 1), x AS (SELECT p.label AS la, q.label AS lb FROM de LEFT JOIN lab p ON p.node = caller LEFT JOIN lab q ON q.node = callee),
  i AS (SELECT la AS label, count(*) AS n FROM x WHERE la = lb GROUP BY 1), o AS (SELECT label, count(*) AS n FROM (SELECT la AS label FROM x WHERE la IS DISTINCT FROM lb UNION ALL SELECT lb FROM x WHERE la IS DISTINCT FROM lb) WHERE label IS NOT NULL GROUP BY 1)
- SELECT label, size, coalesce(i.n, 0) AS internal, coalesce(o.n, 0) AS external, coalesce(round(i.n::DOUBLE / (coalesce(i.n, 0) + coalesce(o.n, 0)), 6), 0.0) AS cohesion FROM z LEFT JOIN i USING (label) LEFT JOIN o USING (label)"""
+ SELECT label, size, coalesce(i.n, 0) AS internal, coalesce(o.n, 0) AS external, coalesce(round(i.n::DOUBLE / (coalesce(i.n, 0) + coalesce(o.n, 0)), 6), 0.0) AS cohesion, (SELECT bool_and(converged) FROM lab) AS converged FROM z LEFT JOIN i USING (label) LEFT JOIN o USING (label)"""
 )
 def community_summary(spark, d):
-    return graph.community_summary(direct(spark, d), labels(spark, d), "caller", "callee").withColumn("cohesion", F.round("cohesion", 6))
-
-
-@query(SQL["community_summary"].replace(LABELS, LABELS_WHOLE).replace(" AS cohesion FROM z", " AS cohesion, (SELECT bool_and(converged) FROM lab) AS converged FROM z"))
-def community_summary_whole(spark, d):
-    own = labels_whole(spark, d)
+    own = labels(spark, d)
     s = graph.community_summary(direct(spark, d), own, "caller", "callee").withColumn("cohesion", F.round("cohesion", 6))
     return s.crossJoin(F.broadcast(own.select("converged").limit(1)))
 
@@ -233,9 +208,10 @@ def subsystem_seeds(spark, d):
     return workqueue.best_of(f, ["subsystem_id"], [F.col("degree").desc(), F.col("addr")], 12)
 
 
-@query(f"WITH {CUR}, {LABELS}, n AS (SELECT label, subsystem_id, count(*) AS n FROM lab JOIN cur ON addr = node GROUP BY ALL), a AS (SELECT label, sum(n) AS size FROM n GROUP BY 1) SELECT label, subsystem_id, (n * 100 // size)::BIGINT AS percent FROM n JOIN a USING (label) WHERE subsystem_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC, subsystem_id) = 1")
+@query(f"WITH {CUR}, {LABELS}, n AS (SELECT label, subsystem_id, count(*) AS n FROM lab JOIN cur ON addr = node GROUP BY ALL), a AS (SELECT label, sum(n) AS size FROM n GROUP BY 1) SELECT label, subsystem_id, (n * 100 // size)::BIGINT AS percent, (SELECT bool_and(converged) FROM lab) AS converged FROM n JOIN a USING (label) WHERE subsystem_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC, subsystem_id) = 1")
 def subsystem_overlap(spark, d):
-    return overlap(spark, d, labels(spark, d))
+    own = labels(spark, d)
+    return overlap(spark, d, own.select("node", "label")).crossJoin(F.broadcast(own.select("converged").limit(1)))
 
 
 def overlap(spark, d, own):
@@ -245,12 +221,6 @@ def overlap(spark, d, own):
     return best.join(size, "label").select("label", (-F.col("x.s")).alias("subsystem_id"), F.floor(F.col("x.n") * 100 / F.col("size")).alias("percent"))
 
 
-@query(SQL["subsystem_overlap"].replace(LABELS, LABELS_WHOLE).replace(" AS percent FROM", " AS percent, (SELECT bool_and(converged) FROM lab) AS converged FROM"))
-def subsystem_overlap_whole(spark, d):
-    own = labels_whole(spark, d)
-    return overlap(spark, d, own.select("node", "label")).crossJoin(F.broadcast(own.select("converged").limit(1)))
-
-
 # --- listings, similarity, census ----------------------------------------------------------------
 
 START = r"GUEST_BODY\(sub_([0-9A-Fa-f]{8})\)"
@@ -260,7 +230,7 @@ def listings(spark, d):
     """Function bodies in documents, with an id each."""
     docs = table(spark, d, "documents").select("doc_id", "text").distinct()
     found = files.listing_functions(docs, START, "doc_id")
-    return found.withColumn("fn", F.col("doc_id") * 100_000 + F.col("first"))
+    return found.withColumn("fn", F.shiftleft("doc_id", 32) + F.col("first"))
 
 
 def sequences(spark, d):
@@ -272,7 +242,7 @@ FN = f"""ln AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS n FRO
  dp AS (SELECT *, sum(op) OVER w AS opened, sum(op - cl) OVER w AS depth FROM (SELECT *, len(line) - len(replace(line, '{{', '')) AS op, len(line) - len(replace(line, '}}', '')) AS cl FROM sg WHERE seg > 0) WINDOW w AS (PARTITION BY doc_id, seg ORDER BY n)),
  en AS (SELECT *, min(CASE WHEN opened > 0 AND depth <= 0 THEN n END) OVER (PARTITION BY doc_id, seg) AS last FROM dp),
  fn AS (SELECT doc_id, ('0x' || max(head))::BIGINT AS addr, min(n) AS first, coalesce(max(last) - min(n) + 1, 0) AS n_lines, string_agg(line, chr(10) ORDER BY n) AS body FROM en WHERE last IS NULL OR n <= last GROUP BY doc_id, seg),
- sq AS (SELECT doc_id * 100000 + first AS fn, addr, regexp_extract_all(body, '(?m)^[ \\t]*// ?([a-z][a-z0-9_.]*)', 1) AS ops FROM fn),
+ sq AS (SELECT doc_id * 4294967296 + first AS fn, addr, regexp_extract_all(body, '(?m)^[ \\t]*// ?([a-z][a-z0-9_.]*)', 1) AS ops FROM fn),
  sh AS (SELECT fn, addr, ops, CASE WHEN len(ops) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ops) - 2, 1) + 1), lambda i: array_to_string(list_slice(ops, i, i + 2), ' '))) END AS s FROM sq)"""
 SIG = f"""{FN}, bs AS (SELECT fn, unnest(CASE WHEN len(s) = 0 THEN [NULL] ELSE s END) AS sh FROM sh WHERE len(ops) >= 6), hb AS (SELECT fn, ('0x' || substr(md5(sh), 1, 16))::UBIGINT::HUGEINT AS b FROM bs),
  mh AS (SELECT fn, i, min((b * (2 * i + 1) + i * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM hb, (SELECT unnest(range(32)) AS i) GROUP BY ALL),
@@ -334,6 +304,43 @@ def jaccard_est(spark, d):
     return f.select("fn", "root", similarity.jaccard_estimate(F.col("sig"), F.col("root_sig")).cast("double").alias("estimate"))
 
 
+#: How the listings of this corpus write stores, loads, labels and jumps.
+DIALECT = census.CensusRules(
+    store=r"^\s*// ?st(b|h|w|d|fs|fd)\b",
+    sizes={"b": 1, "h": 2, "w": 4, "d": 8, "fs": 4, "fd": 8},
+    base=r"\(r(\d+)\)",
+    offset=r",(-?\d+)\(",
+    write=r"(?:^\s*cx\.g\[|^\s*// ?(?!st|cmp|b|mt)[a-z]\w* r)(\d+)",
+    load=r"^\s*cx\.g\[(\d+)\] = MEM32\(cx\.g\[(\d+)\](?: \+ (\d+))?\)",
+    label=r"^\s*(\w+):\s*$",
+    jump=r"\bgoto (\w+)\s*;",
+    stack=("1",),
+    entry=tuple(str(n) for n in range(3, 11)),
+    blocking={"indirect call": r"//\s*bctrl\b"},
+    volatile={"time base": r"//\s*mftb\b"},
+)
+
+
+@query()
+def screen_gate(spark, d):
+    """The screening verdict of every listing, with its reasons and counts."""
+    s = census.screen(listings(spark, d).select("fn", "body"), "fn", "body", DIALECT)
+    return s.select("fn", "verdict", F.array_join("reasons", "; ").alias("reasons"), "n_stores", "n_bytes", "n_derived", "n_loop", "n_unknown", "n_untraced", F.size("windows").alias("n_windows"))
+
+
+@query(
+    f"""WITH {FN}, l AS (SELECT fn, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS n FROM (SELECT doc_id * 4294967296 + first AS fn, body FROM fn)),
+ s AS (SELECT fn, n, regexp_extract(line, '^\\s*// ?st(b|h|w|d|fs|fd)\\b', 1) AS form, regexp_extract(line, '\\(r(\\d+)\\)', 1) AS reg, TRY_CAST(regexp_extract(line, ',(-?\\d+)\\(', 1) AS BIGINT) AS o FROM l WHERE regexp_matches(line, '^\\s*// ?st(b|h|w|d|fs|fd)\\b')),
+ w AS (SELECT DISTINCT fn, n, coalesce(nullif(regexp_extract(line, '^\\s*cx\\.g\\[(\\d+)', 1), ''), CASE WHEN regexp_matches(line, '^\\s*// ?(st|cmp|b|mt)') THEN NULL ELSE nullif(regexp_extract(line, '^\\s*// ?[a-z]\\w* r(\\d+)', 1), '') END) AS reg FROM l),
+ p AS (SELECT s.fn, s.n, form, s.reg, o, max(w.n) AS seen FROM s LEFT JOIN w ON w.fn = s.fn AND w.reg = s.reg AND w.n < s.n GROUP BY ALL)
+ SELECT fn, n::BIGINT AS n, form, reg, CASE WHEN reg = '1' THEN 'stack' WHEN reg = '' THEN 'unknown' WHEN seen IS NOT NULL THEN 'derived' WHEN reg IN ('3', '4', '5', '6', '7', '8', '9', '10') THEN 'entry' ELSE 'unknown' END AS base, o AS "offset" FROM p"""
+)
+def store_classes(spark, d):
+    """Every store of the listings with what its base register is."""
+    rows = census.lines(listings(spark, d).select("fn", "body"), "fn", "body")
+    return census.stores(rows, "fn", DIALECT).select("fn", F.col("n").cast("bigint").alias("n"), "form", "reg", "base", "offset")
+
+
 FLAGS = {"n_stores": "^st", "n_loads": "^l[bhwdfv]", "n_float": "^f|^lf|^stf", "n_indirect": "^bctrl$", "n_branches": "^b"}
 
 
@@ -450,6 +457,73 @@ def saturating_score(spark, d):
     return functions(spark, d).select("addr", F.floor(s * 1000 + 0.500001).alias("permille"))
 
 
+@query(f"WITH {CUR} SELECT addr, status, attempts FROM cur WHERE coalesce(status, 'pending') IN ('pending', 'divergent', 'thin') AND NOT (coalesce(status, 'pending') = 'divergent' AND coalesce(attempts, 0) >= 3)")
+def queue_open(spark, d):
+    """Open items but those that diverged three times."""
+    f = evidence.current_rows(table(spark, d, "guest_function").withColumn("addr", unsigned32(F.col("addr"))), "addr", "updated_at", ["status", "attempts"])
+    status = F.coalesce("status", F.lit("pending"))
+    spent = (status == "divergent") & (F.coalesce("attempts", F.lit(0)) >= 3)
+    return workqueue.next_items(f.select("addr", "status", "attempts"), [status.isin("pending", "divergent", "thin"), ~spent], [])
+
+
+TIER_RANK = {c: i for i, c in enumerate("AUBCDEFL")}
+
+
+@query(
+    f"WITH {CUR} SELECT addr, {LETTER} AS tier, family_id, hot FROM cur WHERE coalesce(status, 'pending') = 'pending' AND retired_at IS NULL ORDER BY CASE {LETTER} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TIER_RANK.items()) + " ELSE 99 END, coalesce(family_id, 0), coalesce(hot, 0) DESC, coalesce(difficulty, 1.0), addr LIMIT 100"
+)
+def queue_families(spark, d):
+    """Pending items by rank of tier, families together, unknown tiers last."""
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in TIER_RANK.items() for x in p]), F.col("tier")), F.lit(99))
+    order = [rank, F.coalesce("family_id", F.lit(0)), F.coalesce("hot", F.lit(0)).desc(), F.coalesce("difficulty", F.lit(1.0)), F.col("addr")]
+    items = queued(spark, d).select("addr", "tier", "family_id", "hot", "difficulty", "status", "retired_at")
+    return workqueue.next_items(items, [F.col("status") == "pending", F.col("retired_at").isNull()], order, 100).select("addr", "tier", "family_id", "hot")
+
+
+@query(f"WITH {CUR} SELECT addr, name, tier, status FROM cur WHERE addr = (SELECT min(addr) FROM cur WHERE subsystem_id = (SELECT max(subsystem_id) FROM cur))")
+def point_lookup(spark, d):
+    """One function by its key, the key from a scalar subquery."""
+    f = functions(spark, d).select("addr", "name", "tier", "status", "subsystem_id")
+    last = f.agg(F.max("subsystem_id").alias("subsystem_id"))
+    key = f.join(F.broadcast(last), "subsystem_id").agg(F.min("addr").alias("addr"))
+    return f.join(F.broadcast(key), "addr").select("addr", "name", "tier", "status")
+
+
+@query(
+    f"""WITH {CUR}, g AS (SELECT subsystem_id, count(*) AS n, max(coalesce(hot, 0)) AS hot, count(*) FILTER (name NOT LIKE 'sub\\_%' ESCAPE '\\') AS named, count(gate) AS screened, count(*) FILTER (gate IN ('pass', 'gate4')) AS good FROM cur WHERE subsystem_id IS NOT NULL GROUP BY 1),
+ x AS (SELECT subsystem_id, n, 0.4::DOUBLE * CASE WHEN screened = 0 THEN 0.5::DOUBLE ELSE good::DOUBLE / screened END + 0.3::DOUBLE * least(1.0::DOUBLE, hot::DOUBLE / 100000) + 0.2::DOUBLE * (named::DOUBLE / n) + 0.1::DOUBLE * (1.0::DOUBLE - least(1.0::DOUBLE, abs(n - 400)::DOUBLE / 1200)) AS s FROM g)
+ SELECT subsystem_id, n AS size, floor(s * 1000 + 0.500001)::BIGINT AS permille FROM x WHERE n BETWEEN 5 AND 5000 QUALIFY row_number() OVER (ORDER BY floor(s * 1000 + 0.500001) DESC, subsystem_id) <= 12"""
+)
+def subsystem_scores(spark, d):
+    """The twelve best subsystems of a fitting size by share screened good, heat, names and size."""
+    f = functions(spark, d).filter("subsystem_id is not null")
+    g = f.groupBy("subsystem_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("hot", F.lit(0))).alias("hot"), F.count_if(~F.col("name").startswith("sub_")).alias("named"), F.count("gate").alias("screened"), F.count_if(F.col("gate").isin("pass", "gate4")).alias("good"))
+    real = lambda c: F.col(c).cast("double")
+    s = (
+        F.lit(0.4) * F.when(F.col("screened") == 0, F.lit(0.5)).otherwise(real("good") / F.greatest("screened", F.lit(1)))
+        + F.lit(0.3) * F.least(F.lit(1.0), real("hot") / 100000)
+        + F.lit(0.2) * (real("named") / F.col("n"))
+        + F.lit(0.1) * graph.size_fit(F.col("n"), 400, 1200)
+    )
+    ranked = g.filter(F.col("n").between(5, 5000)).select("subsystem_id", F.col("n").alias("size"), F.floor(s * 1000 + 0.500001).alias("permille"))
+    return ranked.orderBy(F.col("permille").desc(), "subsystem_id").limit(12)
+
+
+@query(f"WITH {EDGE} SELECT CASE WHEN coalesce(callee_name, '') = '' THEN 'unresolved' WHEN starts_with(callee_name, '__imp__') THEN 'import' WHEN starts_with(callee_name, '__') THEN 'helper' ELSE 'direct' END AS kind_by_name, kind, count(*) AS n_rows FROM e GROUP BY ALL")
+def edge_kinds_by_name(spark, d):
+    """The kind a callee's name speaks for, against the stored one."""
+    return workqueue.counts_by(edges(spark, d), {"kind_by_name": files.edge_kind(F.col("callee"), F.col("callee_name")), "kind": F.col("kind")})
+
+
+@query(f"WITH {EDGE}, {CUR}, w AS (SELECT addr FROM cur WHERE coalesce(hot, 0) > 0) SELECT caller, count(*) AS n_direct FROM de WHERE caller IN (SELECT addr FROM w) GROUP BY 1")
+def hot_callers(spark, d):
+    """Direct calls of each function that was seen running: a long list of keys is a semi-join."""
+    from lodestrata.operators.skew import skew_join
+
+    seen = functions(spark, d).filter("hot > 0").select(F.col("addr").alias("caller"))
+    return graph.degrees(skew_join(direct(spark, d), seen, ["caller"], "left_semi"), "caller", "n_direct")
+
+
 # --- evidence and layout -------------------------------------------------------------------------
 
 
@@ -591,6 +665,22 @@ def json_props(spark, d):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.get_json_object("props", "$.k").try_cast("bigint")).alias("sum_k"))
 
 
+@query(SQL["session_usage"].replace(" SELECT f.feed, f.file_no,", ", su AS (SELECT f.feed, f.file_no,") + ") SELECT model, count(*) AS n_sessions, sum(coalesce(input_tokens, 0))::BIGINT AS sum_input_tokens, sum(coalesce(output_tokens, 0))::BIGINT AS sum_output_tokens, sum(round(coalesce(cost_usd, 0) * 1000000)::BIGINT)::BIGINT AS micro_usd FROM su GROUP BY 1")
+def ledger_by_model(spark, d):
+    """Sessions, tokens and cost of each model."""
+    s = session_usage(spark, d).withColumn("micro", F.round(F.coalesce("cost_usd", F.lit(0.0)) * 1_000_000).cast("bigint"))
+    g = ledger.totals(s, ["input_tokens", "output_tokens", "micro"], ["model"])
+    return g.select("model", F.col("n_calls").alias("n_sessions"), "sum_input_tokens", "sum_output_tokens", F.col("sum_micro").alias("micro_usd"))
+
+
+@query(f"WITH {TURN}, {CUR}, w AS (SELECT sum(input_tokens * 10 + cache_read_tokens + output_tokens * 50)::BIGINT AS t FROM tu), v AS (SELECT count(*) AS n FROM cur WHERE status IN ('verified', 'promoted', 'thin')) SELECT n AS n_verified, t AS weighted_tenths, CASE WHEN n > 0 THEN round(t::DOUBLE / 10 / n, 1) END AS per_verified FROM w, v")
+def per_verified(spark, d):
+    """Weighted tokens for each verified function."""
+    w = turns(spark, d).agg(F.sum(F.col("input_tokens") * 10 + F.col("cache_read_tokens") + F.col("output_tokens") * 50).alias("weighted_tenths"))
+    v = functions(spark, d).agg(F.count_if(F.col("status").isin("verified", "promoted", "thin")).alias("n_verified"))
+    return w.join(F.broadcast(v)).select("n_verified", "weighted_tenths", F.round(F.try_divide(F.col("weighted_tenths").cast("double") / 10, F.col("n_verified")), 1).alias("per_verified"))
+
+
 # --- session logs --------------------------------------------------------------------------------
 
 
@@ -643,10 +733,20 @@ def weakest_coverage(spark, d):
     return verdicts.weakest(v, clean, "doc_id")
 
 
+@query(
+    f"""WITH {LOG}, {CUR}, lc AS (SELECT addr, min(compared) AS calls FROM vd WHERE result = 'verified' AND doc_id NOT IN (SELECT doc_id FROM vd WHERE result = 'diverged') GROUP BY 1), x AS (SELECT addr, calls, coalesce(nullif(lifted_lines, 0), nullif(ghidra_lines, 0), 1) AS lines FROM cur JOIN lc USING (addr))
+ SELECT addr, calls, lines, CASE WHEN calls < 100 OR calls / lines::DOUBLE < 1.0 THEN 'held' ELSE 'promoted' END AS decision FROM x"""
+)
+def promote(spark, d):
+    """Which functions their weakest trusted coverage promotes."""
+    f = evidence.current_rows(table(spark, d, "guest_function").withColumn("addr", unsigned32(F.col("addr"))), "addr", "updated_at", ["lifted_lines", "ghidra_lines"])
+    return verdicts.decided(f.select("addr", "lifted_lines", "ghidra_lines"), weakest_coverage(spark, d))
+
+
 @query("SELECT DISTINCT port_id, build_id FROM port WHERE build_id IS DISTINCT FROM (SELECT max(build_id) FROM port)")
 def stale_ports(spark, d):
     p = table(spark, d, "port").select("port_id", "build_id").distinct()
-    return verdicts.stale(p, "build_id", p.agg(F.max("build_id")).first()[0])
+    return verdicts.stale(p, "build_id", p.agg(F.max("build_id").alias("latest")))
 
 
 # --- texts ---------------------------------------------------------------------------------------

@@ -64,7 +64,7 @@ def all_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    refs = all_references(spark, d).filter(F.col("addr").isNotNull()).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    refs = all_references(spark, d).withColumn("at", F.col("at").cast("timestamp_ntz"))
     return orphans.orphan_references(refs, all_records(spark, d), ["addr"], match="simple", at="at", since="imported_at", until="retired_at")
 
 
@@ -80,6 +80,14 @@ def p3_periods(spark: SparkSession, d: str) -> DataFrame:
     return why.groupBy("ref_table", F.date_format("at", "yyyy-MM").alias("period"), "reason").agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
+def p3_named(spark: SparkSession, d: str) -> DataFrame:
+    """Edges whose callee, by address and name as far as either is given, is no version of a function and no runtime symbol."""
+    named = lambda t, a, n: table(spark, d, t).select(F.nullif(unsigned32(F.col(a)), F.lit(0).cast("bigint")).alias("addr"), F.nullif(F.col(n), F.lit("")).alias("name"))
+    known = named("guest_function", "addr", "name").unionAll(named("runtime_symbol", "addr", "name"))
+    refs = table(spark, d, "xref").select("xref_id", F.nullif(unsigned32(F.col("callee")), F.lit(0).cast("bigint")).alias("addr"), F.nullif("callee_name", F.lit("")).alias("name")).distinct()
+    return orphans.orphan_references(refs, known, ["addr", "name"], match="partial")
+
+
 def body_nodes(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "provider_event").filter(plain(F.col("provider")) == "claude").select("event_id", "body")
     return nested.nodes(rows, "body", ("structured_output",))
@@ -132,12 +140,14 @@ def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("schema_path", "kind").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_usage, p1_casts, p3_found, p3_periods, p5_found, p5_texts, p5_costs, p5_addresses, p5_tables, p5_nodes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_usage, p1_casts, p3_found, p3_periods, p3_named, p5_found, p5_texts, p5_costs, p5_addresses, p5_tables, p5_nodes)}
 
 _RECORDS = "cur AS (SELECT addr & 4294967295 AS a, arg_max(imported_at, updated_at) AS since, max(updated_at) AS v FROM guest_function GROUP BY 1), ret AS (SELECT DISTINCT addr & 4294967295 AS a, retired_at AS until, updated_at AS v FROM guest_function), live AS (SELECT a, since, until FROM cur JOIN ret USING (a, v))"
 _REFS = "refs AS (SELECT 'xref' AS ref_table, xref_id AS ref_id, callee & 4294967295 AS a, noted_at AS ts FROM xref UNION ALL SELECT 'field_evidence', id, function_addr & 4294967295, created_at FROM field_evidence UNION ALL SELECT 'port', port_id, addr & 4294967295, updated_at FROM port)"
 _ORPHANS = f"WITH {_RECORDS}, {_REFS}, orph AS (SELECT DISTINCT ref_table, ref_id, refs.a, ts, CASE WHEN live.a IS NULL THEN 'missing' WHEN since > ts THEN 'early' ELSE 'deleted' END AS reason FROM refs LEFT JOIN live USING (a) WHERE refs.a IS NOT NULL AND refs.a <> 0 AND refs.a NOT IN (SELECT addr & 4294967295 FROM runtime_symbol) AND (live.a IS NULL OR since > ts OR until <= ts))"
 SQL = {
+    "p3_named": """WITH k AS (SELECT nullif(addr & 4294967295, 0) AS a, nullif(name, '') AS n FROM guest_function UNION SELECT nullif(addr & 4294967295, 0), nullif(name, '') FROM runtime_symbol), r AS (SELECT DISTINCT xref_id, nullif(callee & 4294967295, 0) AS addr, nullif(callee_name, '') AS name FROM xref)
+ SELECT * FROM r WHERE (addr IS NOT NULL AND name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE a = addr AND n = name)) OR (addr IS NULL AND name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE n = name)) OR (addr IS NOT NULL AND name IS NULL AND NOT EXISTS (SELECT 1 FROM k WHERE a = addr))""",
     "p3_found": f"{_ORPHANS} SELECT DISTINCT ref_table, ref_id FROM orph",
     "p3_periods": f"{_ORPHANS} SELECT ref_table, strftime(ts, '%Y-%m') AS period, reason, count(*) AS n_orphans FROM orph GROUP BY ALL",
 }

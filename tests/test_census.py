@@ -1,20 +1,20 @@
 from pyspark.sql import functions as F
 
 from lodestrata.operators import census, folds, lint
-from lodestrata.operators.census import CensusRules
+from lodestrata.plans.corpus import DIALECT
 
-RULES = CensusRules(blocking={"indirect call": r"\bCALL_INDIRECT\b"}, volatile={"time base": r"\bREAD_CLOCK\b"})
+RULES = DIALECT.merged(blocking={"indirect call": r"\bbctrl\b"}, volatile={"time base": r"\bmftb\b"})
 BODIES = {
-    1: "STORE_U32(g.r3.u32 + 16, g.r4.u32);",
-    2: "g.r11.u64 = LOAD_U32(g.r3.u32 + 0x30);\nSTORE_U16(g.r11.u32 + 8, 1);",
-    3: "loc_82000000:\nSTORE_U8(g.r3.u32, 1);\ngoto loc_82000000;",
-    4: "CALL_INDIRECT(1);\nREAD_CLOCK();",
-    5: "CALL_INDIRECT(1);",
-    6: "g.r3.u64 = g.r4.u64 + 1;",
+    1: "// stw r4,16(r3)",
+    2: "cx.g[11] = MEM32(cx.g[3] + 48);\n// sth r5,8(r11)",
+    3: "top:\n// stb r4,0(r3)\ngoto top;",
+    4: "// bctrl\n// mftb r3",
+    5: "// bctrl",
+    6: "// addi r3,r4,1",
     7: "",
     8: None,
-    9: "STORE_U32(g.r20.u32 + 4, 1);",
-    10: "g.r11.u64 = g.r3.u64 + 4;\nSTORE_V128(g.r11.u32, 1);\nSTORE_U32(g.r1.u32 + 8, 1);",
+    9: "// stw r5,4(r20)",
+    10: "// addi r11,r3,4\n// stfd r4,0(r11)\n// stw r5,8(r1)",
 }
 
 
@@ -22,17 +22,17 @@ def test_verdicts_and_windows(spark):
     df = spark.createDataFrame(list(BODIES.items()), "id long, body string")
     got = {r.id: r for r in census.screen(df, "id", "body", RULES).collect()}
     assert {k: v.verdict for k, v in got.items()} == {1: "pass", 2: "pass", 3: "loop", 4: "volatile", 5: "blocking", 6: "no_stores", 7: "empty", 8: "empty", 9: "unknown", 10: "pass"}
-    assert (got[1].windows[0].base, got[1].windows[0].offset, got[1].windows[0].len) == ("r3", 16, 4)
+    assert (got[1].windows[0].base, got[1].windows[0].offset, got[1].windows[0].len) == ("3", 16, 4)
     w = got[2].windows[0]
-    assert (w.base, w.deref, w.needs_deref, w.offset) == ("r3", [48], True, 8)
-    assert got[10].windows[0].untraced == "r11" and got[10].n_untraced == 1
+    assert (w.base, w.deref, w.needs_deref, w.offset) == ("3", [48], True, 8)
+    assert got[10].windows[0].untraced == "11" and got[10].n_untraced == 1
     assert got[5].reasons == ["indirect call at line 0"]
     tight = {r.id: r.verdict for r in census.screen(df, "id", "body", RULES, most_spans=1).collect()}
     assert tight[10] == "spans"
 
 
 def test_loops_use_the_last_label(spark):
-    df = spark.createDataFrame([(1, "loc_00000001:\na\nloc_00000001:\nb\ngoto loc_00000001;\ngoto loc_00000002;\nloc_00000002:")], "id long, body string")
+    df = spark.createDataFrame([(1, "top:\na\ntop:\nb\ngoto top;\ngoto end;\nend:")], "id long, body string")
     assert [tuple(r) for r in census.loop_ranges(census.lines(df, "id", "body"), "id", RULES).collect()] == [(1, 2, 4)]
 
 

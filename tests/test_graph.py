@@ -12,12 +12,6 @@ def test_closure_of_a_chain(spark):
     assert graph.closure(e, s.limit(0), "a", "b").count() == 0
 
 
-def test_stop_counts_skip_the_frontier(spark):
-    e = spark.createDataFrame([(1, 2, "helper"), (1, 2, "helper"), (3, 4, "helper")], "a long, b long, k string")
-    reached = spark.createDataFrame([(1, 0), (3, 2)], "node long, depth int")
-    assert [tuple(r) for r in graph.stop_counts(e, reached, "a", "b", "k", ("helper",), 2).collect()] == [("helper", 1)]
-
-
 def test_components_against_union_find(spark):
     rnd = random.Random(3)
     pairs = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(500, 500)]

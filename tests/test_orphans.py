@@ -42,7 +42,7 @@ def test_hot_key_is_salted_and_whole(spark):
 
     refs = spark.range(60_000).selectExpr("id", "if(id % 3 = 0, 7, id) as a")
     recs = spark.createDataFrame([(7,), (8,)], "a bigint")
-    assert skew.hot_keys(refs, ["a"]) == [(7,)]
+    assert [k[0] for k in skew.hot_keys(refs, ["a"])] == [7]
     found = orphan_references(refs, recs, ["a"])
     assert found.count() == 40_000 - 2
     assert orphan_references(refs, recs.filter("a = 8"), ["a"]).count() == 60_000 - 1

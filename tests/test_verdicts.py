@@ -35,7 +35,7 @@ def test_trust_and_weakest(spark):
 
 def test_stale(spark):
     p = spark.createDataFrame([(1, 5), (2, 4), (3, None)], "id long, build long")
-    assert sorted(r.id for r in verdicts.stale(p, "build", 5).collect()) == [2, 3]
+    assert sorted(r.id for r in verdicts.stale(p, "build", spark.range(5, 6)).collect()) == [2, 3]
 
 
 def test_streaks_and_smoothing(spark):

@@ -28,10 +28,9 @@ def test_labels_are_propagated_until_they_settle(spark):
             label |= new
     assert rounds > 3
     q = entry.queries()
-    got = q["lpa_whole"](spark, D).collect()
+    got = q["label_propagation"](spark, D).collect()
     assert {r.node: r.label for r in got} == label and {r.converged for r in got} == {not moved}
-    assert {r.node: r.label for r in q["lpa_3rounds"](spark, D).collect()} != label
-    summary = q["community_summary_whole"](spark, D).collect()
+    summary = q["community_summary"](spark, D).collect()
     assert {r.label: r.size for r in summary} == Counter(label.values()) and {r.converged for r in summary} == {not moved}
 
 
@@ -53,7 +52,7 @@ def test_closure_has_no_depth_limit(spark):
     dropped = {r.addr for r in corpus.runtime(spark, D).collect()}
     want = closure_of(spark, corpus.edges(spark, D).collect(), dropped)
     assert max(want.values()) > 3
-    assert {r.node: r.depth for r in entry.queries()["closure_whole"](spark, D).collect()} == want
+    assert {r.node: r.depth for r in entry.queries()["closure_depth"](spark, D).collect()} == want
 
 
 def test_stop_reasons(spark):
@@ -68,7 +67,7 @@ def test_stop_reasons(spark):
 def test_every_indirect_edge_of_reached_callers_counts(spark):
     edges = corpus.edges(spark, D).collect()
     reached = closure_of(spark, edges, {r.addr for r in corpus.runtime(spark, D).collect()})
-    got = {r.kind: r.n_stopped for r in entry.queries()["closure_stopped_whole"](spark, D).collect()}
+    got = {r.kind: r.n_stopped for r in entry.queries()["closure_stopped"](spark, D).collect()}
     assert got["indirect"] == sum(r.kind == "indirect" and r.caller in reached for r in edges)
 
 
