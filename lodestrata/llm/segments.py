@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Set
+from functools import lru_cache
 
 from lodestrata.functions.shipping import ship
 
@@ -35,6 +36,7 @@ BRACKETS = re.compile(r"[\[\]()<>]+")
 TRIM = " .:!?\"'*-\u2013\u2014[]()<>#"
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*0?|0")
+FIGURE = re.compile("[0-9]")
 ODD = re.compile(r"\d|[\u0400-\u04ff]")
 HEXED = re.compile(r"[0-9a-f]+|[^\W\d_]\d+")
 MIXED = re.compile(r"(?<![124-9])[03](?=[^\W\d_])|[^\W\d_][03]{2,}$")
@@ -54,10 +56,13 @@ def weight(text: str) -> int:
 def folded(text: str) -> list[str]:
     """The words of a text in lower case, look-alikes as the letters they stand for (0 and 3 only before a letter or doubled at the end), other figures as 0."""
     words = WORD.findall(text.lower())
-    return words if not ODD.search(text) else [spelled(w) if ODD.search(w) else w for w in words]
+    return words if text.isascii() and not FIGURE.search(text) else list(map(spelled, words))
 
 
+@lru_cache(maxsize=100_000)
 def spelled(word: str) -> str:
+    if not ODD.search(word):
+        return word
     word = word.translate(LOOKALIKES)
     if not HEXED.fullmatch(word) and MIXED.search(word):
         word = word.translate(FIGURES)
