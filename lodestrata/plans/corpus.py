@@ -695,15 +695,15 @@ def folded(spark, d):
 LOG = r"""ln AS (SELECT doc_id, trim(unnest(l), ' ') AS line, unnest(range(len(l))) AS n FROM (SELECT DISTINCT doc_id, string_split_regex(text, '\r\n|\n|\r') AS l FROM documents WHERE text IS NOT NULL)),
  ev AS (SELECT doc_id, n, line, TRY_CAST('0x' || nullif(regexp_extract(line, '(?i)\bsub_([0-9a-f]{8})\b', 1), '') AS BIGINT) AS addr, TRY_CAST(nullif(regexp_extract(line, '(?i)\bsub_[0-9a-f]{8}\b.*?compared[=: ]+(\d+).*?skipped[=: ]+(\d+)', 1), '') AS BIGINT) AS compared,
  TRY_CAST(nullif(regexp_extract(line, '(?i)\bsub_[0-9a-f]{8}\b.*?compared[=: ]+(\d+).*?skipped[=: ]+(\d+)', 2), '') AS BIGINT) AS skipped,
- CASE WHEN regexp_matches(line, '(?i)\bsub_[0-9a-f]{8}\b.*?\bdiverge\w*\b') THEN 'diverged' WHEN regexp_matches(line, '(?i)\bsub_[0-9a-f]{8}\b.*?\boverflow\b') THEN 'overflow' WHEN regexp_matches(line, '(?i)\bsub_[0-9a-f]{8}\b.*?\b(?:clean|verified|no divergence)\b') THEN 'clean' END AS event FROM ln),
- fd AS (SELECT doc_id, addr, arg_max(compared, n) FILTER (compared IS NOT NULL) AS compared, arg_max(skipped, n) FILTER (compared IS NOT NULL) AS skipped, coalesce(max(n) FILTER (event = 'diverged'), -1) AS d, coalesce(max(n) FILTER (event = 'overflow'), -1) AS o, coalesce(max(n) FILTER (event = 'clean'), -1) AS k, max(coalesce(compared, 0)) AS a
+ CASE WHEN regexp_matches(line, '(?i)\bsub_[0-9a-f]{8}\b.*?\bdiverge\w*\b') THEN 'diverged' WHEN regexp_matches(line, '(?i)\bsub_[0-9a-f]{8}\b.*?\boverflow\b') THEN 'overflow' WHEN regexp_matches(line, '(?i)\bsub_[0-9a-f]{8}\b.*?\b(?:clean|verified|no divergence)\b') THEN 'clean' END AS event, substr(coalesce(nullif(trim(regexp_extract(line, '(?i)\bsub_[0-9a-f]{8}\b.*?\bdiverge\w*\b(.*)$', 1), ' '), ''), line), 1, 300) AS detail FROM ln),
+ fd AS (SELECT doc_id, addr, arg_max(compared, n) FILTER (compared IS NOT NULL) AS compared, arg_max(skipped, n) FILTER (compared IS NOT NULL) AS skipped, coalesce(max(n) FILTER (event = 'diverged'), -1) AS d, arg_max(detail, n) FILTER (event = 'diverged') AS detail, coalesce(max(n) FILTER (event = 'overflow'), -1) AS o, coalesce(max(n) FILTER (event = 'clean'), -1) AS k, max(coalesce(compared, 0)) AS a
  FROM ev WHERE addr IS NOT NULL AND (compared IS NOT NULL OR event IS NOT NULL) GROUP BY ALL),
- vd AS (SELECT doc_id, addr, CASE WHEN r = 'verified' AND compared = 0 THEN 'uncalled' ELSE r END AS result, compared, skipped FROM (SELECT doc_id, addr, coalesce(compared, 0) AS compared, coalesce(skipped, 0) AS skipped, CASE WHEN d >= 0 AND d > o THEN 'diverged' WHEN o >= 0 AND k > o THEN 'verified' WHEN o >= 0 THEN 'overflow' WHEN k >= 0 OR a > 0 THEN 'verified' ELSE 'uncalled' END AS r FROM fd))"""
+ vd AS (SELECT doc_id, addr, CASE WHEN r = 'verified' AND compared = 0 THEN 'uncalled' ELSE r END AS result, compared, skipped, detail FROM (SELECT doc_id, addr, detail, coalesce(compared, 0) AS compared, coalesce(skipped, 0) AS skipped, CASE WHEN d >= 0 AND d > o THEN 'diverged' WHEN o >= 0 AND k > o THEN 'verified' WHEN o >= 0 THEN 'overflow' WHEN k >= 0 OR a > 0 THEN 'verified' ELSE 'uncalled' END AS r FROM fd))"""
 
 
 @query(f"WITH {LOG} SELECT * FROM vd")
 def log_fold(spark, d):
-    return folded(spark, d).drop("detail")
+    return folded(spark, d)
 
 
 @query(f"WITH {LOG} SELECT result, count(*) AS n_rows, sum(compared)::BIGINT AS sum_compared FROM vd GROUP BY 1")
@@ -776,6 +776,12 @@ def elide_middle(spark, d):
     return documents(spark, d).select("doc_id", text.elide(F.col("text"), 12).alias("view"))
 
 
+def _widths(sql: str) -> str:
+    for a, b in text.WIDTH_TYPES.items():
+        sql = f"regexp_replace({sql}, '\\b{a}\\b', '{b}', 'g')"
+    return sql
+
+
 TEXT_LINES = "ll AS (SELECT doc_id, text, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, text, string_split_regex(coalesce(text, ''), '\\r\\n|\\n|\\r') AS l FROM documents))"
 
 
@@ -791,12 +797,13 @@ def note_summaries(spark, d):
 @query(
     f"""WITH {TEXT_LINES}, c AS (SELECT doc_id, text, l, list_filter(CASE WHEN len(l) > 0 THEN [ltrim(l[1], ' ')] || l[2:] ELSE l END, lambda x: trim(x, ' ') <> '' AND NOT regexp_matches(trim(x, ' '), '^(?:/[/*]|\\*)'))[1] AS head FROM ll WHERE text LIKE '%undefined8%')
  SELECT doc_id, CASE WHEN regexp_matches(head, '^[A-Za-z_][\\w\\s*]*\\w\\s*\\([^;]*\\)?\\s*\\{{?\\s*$') THEN trim(head, ' ') ELSE '' END AS signature, trim(text, ' ') <> '' AND text NOT LIKE '%halt_baddata%' AS usable,
- len(list_filter(l, lambda x: trim(x, ' ') <> '' AND NOT (regexp_matches(x, '{text.DECLARATION}') AND NOT regexp_matches(x, '^\\s*(?:return|goto)\\b'))))::INT AS n_lines FROM c"""
+ regexp_matches(text, '(?i)\\b(?:unrecovered|UNRECOVERED_JUMPTABLE|goto code_r0x)') AS unresolved, md5({_widths("array_to_string(list_filter(l, lambda x: trim(x, ' ') <> '' AND NOT (regexp_matches(x, '" + text.DECLARATION + "') AND NOT regexp_matches(x, '^\\s*(?:return|goto)\\b'))), chr(10))")}) AS digest FROM c"""
 )
 def c_views(spark, d):
     t = F.col("text")
     c = documents(spark, d).filter(t.contains("undefined8"))
-    return c.select("doc_id", text.signature(F.ltrim(t)).alias("signature"), text.usable(t).alias("usable"), F.size(split_lines(text.normalise_c(t))).alias("n_lines"))
+    plain_c = text.normalise_c(t)
+    return c.select("doc_id", text.signature(F.ltrim(t)).alias("signature"), text.usable(t).alias("usable"), text.unresolved_branch(t).alias("unresolved"), F.md5(plain_c.cast("binary")).alias("digest"))
 
 
 @query()
