@@ -1,15 +1,18 @@
 """Encoding a corpus with a public byte-level BPE by corpus-level merge replay.
 
-1. Texts are cut into words by the tokenizer's pattern. Stretches of the
-   corpus become rows of a stored table: their distinct words, and each text
-   as a list of numbers of these words.
+1. Texts are cut into words by the tokenizer's pattern. The corpus is taken
+   in stretches; a stored table has a row for each distinct word of a stretch,
+   with its number there, and one for each text, as a list of such numbers.
 2. The distinct words of the whole corpus are gathered, each once, and lie end
    to end in arrays of token ids, one for each part of that table; an inverted
    index leads from each pair of neighbours, by the rank of its merge, to the
    positions where it stands. Merges are applied in rank order, each at all
    its positions at once, and only the neighbours it touches are indexed anew.
 3. Ids of words go back to the stretches that hold them, and each text's ids
-   are read off its word numbers.
+   are read off its word numbers, one stretch at a time.
+
+No row is larger than its text, so readers, which take rows by the thousand,
+hold no more than those of the corpus itself do.
 
 A word is a row once for each stretch that holds it, so no word, however
 often it stands in the corpus, has more rows than there are stretches; a
@@ -197,26 +200,34 @@ def encode_corpus(df: DataFrame, text: str, out: str = "ids", vocabulary: str =
     """Replace the text column by its token ids, or by their number with ``sizes_only``.
 
     Other columns are kept, but for one named ``out``. ``vocabulary`` is a
-    tokenizer file that every executor can read. A row of the stored table
-    holds texts of about ``stretch`` characters; words of about ``heap``
-    characters are replayed at once.
+    tokenizer file that every executor can read. A stretch has about
+    ``stretch`` characters; words of about ``heap`` characters are replayed at
+    once.
     """
     keep = [c for c in df.columns if c not in (text, out)]
     held = [f"k{i}" for i in range(len(keep))]
     kinds = dict(df.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each word of a stretch, then one for each of its texts."""
         import regex
+        from pyspark import TaskContext
 
         split = regex.compile(PATTERN).findall
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in stretches(texts, stretch):
                 words, coded = number_words(texts[a:b], split)
                 edges = np.concatenate([[0], np.cumsum([len(c) for c in coded], dtype=np.int64)])
                 codes = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(coded), pa.int32()))
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([*(one(batch.column(i).slice(a, b - a)) for i in range(len(keep))), one(pa.array(words, pa.string())), one(codes)], [*held, "words", "codes"])
+                own = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
+                for n, *columns in (
+                    (len(words), *(pa.nulls(len(words), c.type) for c in own), pa.array(np.arange(len(words)), pa.int32()), pa.array(words, pa.string()), pa.nulls(len(words), codes.type)),
+                    (b - a, *own, pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.string()), codes),
+                ):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int64)), *columns], ["stretch", *held, "code", "word", "codes"])
+                number += 1
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, waiting, size = None, [], 0
@@ -240,36 +251,28 @@ def encode_corpus(df: DataFrame, text: str, out: str = "ids", vocabulary: str =
         if waiting:
             yield give()
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of held columns, codes, and the words' (number, ids) in any order."""
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                codes = row.column(len(keep)).flatten()
-                edges = codes.offsets.to_numpy()
-                flat = codes.flatten().to_numpy()
-                edges = edges - edges[0]
-                known = row.column(len(keep) + 1)
-                entries = known.flatten() if known.null_count == 0 else pa.StructArray.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int32() if sizes_only else pa.list_(pa.int32()))], ["code", "ids"])
-                place = np.argsort(entries.field("code").to_numpy(), kind="stable")
-                ids = entries.field("ids").take(pa.array(place))
-                if sizes_only:
-                    sums = np.concatenate([[0], np.cumsum(ids.to_numpy()[flat], dtype=np.int64)])
-                    made = pa.array(np.diff(sums[edges]), pa.int64())
-                else:
-                    starts = ids.offsets.to_numpy().astype(np.int64)
-                    got, begins = read_off(flat, edges, ids.flatten().to_numpy(), starts - starts[0])
-                    made = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(got, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(row.column(k).flatten() for k in range(len(keep))), made], [*keep, out])
+    def apply(known: pa.Table, texts: pa.Table) -> pa.Table:
+        """The texts of a stretch with their ids, from the (code, ids) of its words in any order."""
+        codes = texts["codes"].combine_chunks()
+        edges = codes.offsets.to_numpy()
+        edges = edges - edges[0]
+        flat = codes.flatten().to_numpy()
+        place = pa.array(np.argsort(known["code"].to_numpy(), kind="stable"), pa.int64())
+        ids = known["ids"].combine_chunks().take(place)
+        if sizes_only:
+            sums = np.concatenate([[0], np.cumsum(ids.to_numpy()[flat], dtype=np.int64)])
+            made = pa.array(np.diff(sums[edges]), pa.int64())
+        else:
+            got, begins = read_off(flat, edges, ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64))
+            made = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(got, pa.int32()))
+        return pa.Table.from_arrays([*(texts[h] for h in held), made], [*keep, out])
 
-    spark = df.sparkSession
     plain = df.select(*keep, text)
-    rows = plain.mapInArrow(cut, ", ".join([*(f"{h} array<{kinds[c]}>" for h, c in zip(held, keep)), "words array<string>, codes array<array<int>>"]))
-    table, _ = store(rows.withColumn("stretch", F.monotonically_increasing_id()), "stretches")
-    uses = table.select("stretch", F.posexplode("words").alias("code", "word"))
-    kind = "int" if sizes_only else "array<int>"
-    encoded, _ = store(uses.select("word").distinct().mapInArrow(replay, f"word string, ids {kind}"), "words")
-    known = uses.join(encoded, "word").groupBy("stretch").agg(F.collect_list(F.struct("code", "ids")).alias("known"))
-    whole = table.drop("words").join(known, "stretch", "left").select(*held, "codes", "known")
-    fields = [f"`{c}` {kinds[c]}" for c in keep]
-    return whole.mapInArrow(apply, ", ".join([*fields, f"`{out}` {'bigint' if sizes_only else 'array<int>'}"]))
+    rows = plain.mapInArrow(cut, ", ".join(["stretch bigint", *(f"{h} {kinds[c]}" for h, c in zip(held, keep)), "code int, word string, codes array<int>"]))
+    table, _ = store(rows, "stretches")
+    uses = table.filter(F.col("word").isNotNull()).select("stretch", "code", "word")
+    encoded, _ = store(uses.select("word").distinct().mapInArrow(replay, f"word string, ids {'int' if sizes_only else 'array<int>'}"), "words")
+    known = uses.join(encoded, "word").select("stretch", "code", "ids")
+    texts = table.filter(F.col("word").isNull()).select(F.col("stretch").alias("part"), *held, "codes")
+    fields = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` {'bigint' if sizes_only else 'array<int>'}"])
+    return known.groupBy("stretch").cogroup(texts.groupBy("part")).applyInArrow(apply, fields)

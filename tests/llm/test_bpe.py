@@ -3,8 +3,11 @@ import os
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from lodestrata.llm import bpe
 from lodestrata.llm.bpe import VOCABULARY, Encoder, encode_corpus, stretches
+from lodestrata.shared import store
 
 tokenizers = pytest.importorskip("tokenizers")
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
@@ -75,3 +78,15 @@ def test_clashing_and_nested_columns(spark, known):
     df = spark.createDataFrame([("a b", 1, {"k": 2}, [None, 3], None)], "text string, ids int, words map<string,int>, codes array<int>, stretch string")
     row = encode_corpus(df, "text").collect()[0]
     assert row.asDict() == {"words": {"k": 2}, "codes": [None, 3], "stretch": None, "ids": known.encode("a b", add_special_tokens=False).ids}
+
+
+def test_no_stored_row_holds_more_than_a_word_or_a_text(spark, known, monkeypatch):
+    stored = []
+    monkeypatch.setattr(bpe, "store", lambda df, label: (stored.append(store(df, label)), stored[-1])[1])
+    texts = [f"word{i} and {i}" for i in range(500)] + ["", None, "the longest of all, by some words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.ids for r in encode_corpus(df, "text").collect()} == {i: known.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    for table, _ in stored:
+        lists = [c for c, kind in table.dtypes if kind.startswith("array")]
+        assert not [kind for _, kind in table.dtypes if kind.startswith("array<array")]
+        assert all(r[0] <= 20 for c in lists for r in table.select(F.max(F.size(c))).collect())
