@@ -53,12 +53,43 @@ def tables(n: DataFrame, key: str) -> DataFrame:
     children as name to (kind, raw, place).
     """
     own = n.filter((F.col("name") != ITEM) & ~F.col("kind").isin("object", "list") & (F.size("label") > 1))
-    cell = F.struct(F.col("name").alias("k"), F.struct("kind", "raw", F.element_at("label", -1).alias("at")).alias("v"))
-    rows = own.groupBy(F.col(key), F.col("parent").alias("label")).agg(F.any_value(above(F.col("keys"))).alias("keys"), F.array_sort(F.collect_set(cell)).alias("cells"))
+    rows = own.groupBy(F.col(key), F.col("parent").alias("label")).agg(F.any_value(above(F.col("keys"))).alias("keys"), F.array_sort(F.collect_set(_cell())).alias("cells"))
+    return _linked(rows, key, 1).select(key, path_of(F.col("keys")).alias("schema_path"), "keys", "label", "parent", "fields")
+
+
+def whole_tables(n: DataFrame, key: str) -> DataFrame:
+    """``tables`` with all that a record holds, so that it can be built again from its rows.
+
+    The record itself is a row of table ``$`` with an empty label, the parent
+    of the objects at the top; an object without scalars is a row, with empty
+    fields if it has no lists either; a list is a field of its object, without
+    a value; an item that is no object is a row with one field, ``[]``.
+    """
+    at, path, inside = F.col("label"), F.col("keys"), (F.col("kind") != "object") & (F.col("name") != ITEM)
+    none = F.lit(None).cast(_CELL)
+    up = lambda steps: F.slice(steps, F.lit(1), F.size(steps) - 1)
+    row = lambda label, keys, cell: F.struct(label.alias("label"), keys.alias("keys"), cell.alias("cell"))
+    self = row(at, path, F.when(F.col("kind") != "object", _cell()).otherwise(none))
+    own = F.when(inside, F.array(row(up(at), up(path), _cell()))).when(F.size(at) == 1, F.array(self, row(up(at), up(path), none))).otherwise(F.array(self))
+    rows = n.select(key, F.inline(own)).groupBy(key, "label").agg(F.any_value("keys").alias("keys"), F.array_sort(F.collect_set("cell")).alias("cells"))
+    schema_path = F.when(F.size("keys") == 0, "$").otherwise(path_of(F.col("keys")))
+    return _linked(rows, key, 0).select(key, schema_path.alias("schema_path"), "keys", "label", "parent", "fields")
+
+
+_CELL = "struct<k:string,v:struct<kind:string,raw:string,at:int>>"
+
+
+def _cell() -> Column:
+    """A node as a field: its name, and what is known of it."""
+    return F.struct(F.col("name").alias("k"), F.struct("kind", "raw", F.element_at("label", -1).alias("at")).alias("v"))
+
+
+def _linked(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """Cells as a map, and the label of the nearest object above, of at least so many steps."""
     single = F.filter("cells", lambda x, i: F.coalesce(F.get("cells", i + 1)["k"] != x["k"], F.lit(True)))
     # The nearest object above: drop this step, and those of lists before it.
     steps = F.size("label") - 1 - F.aggregate(F.reverse("keys"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, k: F.struct((a["n"] + F.when(a["on"] & (k == ITEM), 1).otherwise(0)).alias("n"), (a["on"] & (k == ITEM)).alias("on")))["n"]
-    return rows.select(key, path_of(F.col("keys")).alias("schema_path"), "keys", "label", F.when(steps > 0, F.slice("label", F.lit(1), steps)).alias("parent"), F.map_from_entries(single).alias("fields"))
+    return rows.select(key, "keys", "label", F.when(steps >= least, F.slice("label", F.lit(1), steps)).alias("parent"), F.map_from_entries(single).alias("fields"))
 
 
 def table_of(t: DataFrame, key: str, schema_path: str) -> DataFrame:

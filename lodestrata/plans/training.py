@@ -128,10 +128,11 @@ def p5_addresses(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_tables(spark: SparkSession, d: str) -> DataFrame:
     """Every flat table by its schema path: its rows, how many hang on a row of another table, its columns."""
-    t = body_tables(spark, d)
+    # Names and places alone are counted; values need not be carried to the rows.
+    t = store(nested.whole_tables(body_nodes(spark, d).withColumn("raw", F.lit(None).cast("string")), "event_id"), "tables")[0]
     rows = t.groupBy("schema_path").agg(F.count(F.lit(1)).alias("n_rows"), F.count("parent").alias("n_linked"))
     names = t.select("schema_path", F.explode(F.map_keys("fields")).alias("name")).distinct().groupBy("schema_path").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("fields"))
-    return rows.join(names, "schema_path")
+    return rows.join(names, "schema_path", "left").withColumn("fields", F.coalesce("fields", F.lit("")))
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import json
 
 from lodestrata.operators import nested
+from lodestrata.operators.nested import ITEM
+from lodestrata.plans import training
 
 
 def nodes(spark, bodies):
@@ -67,3 +69,40 @@ def test_clashing_columns_nulls_and_long_texts(spark):
     assert nested.nodes(df.limit(0), "body").count() == 0
     for part in (nested.text_blocks, nested.keyed_costs, nested.addresses):
         assert part(nested.tables(nested.nodes(df.limit(0), "body"), "event_id"), "event_id").count() == 0
+
+
+def rebuilt(rows):
+    """The record that rows of whole tables came from."""
+    made = {}
+    for r in sorted(rows, key=lambda r: r.label):
+        nodes = [((*r.label, v.at), name, v) for name, v in r.fields.items()] if ITEM not in r.fields else [(tuple(r.label), None, r.fields[ITEM])]
+        if ITEM not in r.fields:
+            made[tuple(r.label)] = (r["keys"][-1] if r["keys"] else None, {})
+        for label, name, v in nodes:
+            made[label] = (name, [] if v.kind == "list" else v.raw if v.kind in ("string", "null") else json.loads(v.raw))
+    for label in sorted(made, key=lambda x: (len(x), x)):
+        if label:
+            above = made[label[:-1]][1]
+            above.append(made[label][1]) if isinstance(above, list) else above.__setitem__(made[label][0], made[label][1])
+    return made[()][1]
+
+
+def test_whole_tables_hold_the_whole_record(spark):
+    bodies = [
+        {"a": {"x": 1, "n": None, "b": [{"y": 2}, [{"y": 3}], "s", [], [4, [None]]], "e": {}}, "top": 5, "l": [1, 2], "none": [], "only": {"objects": {"z": "t"}}},
+        {"m": {"k": {"v": 0.5}}},
+        {"structured_output": json.dumps({"addr": "82000001"})},
+    ]
+    found = nested.whole_tables(nodes(spark, bodies), "event_id").collect()
+    want = [*bodies[:2], {"structured_output": {"addr": "82000001"}}]
+    assert [rebuilt([r for r in found if r.event_id == i]) for i in range(3)] == want
+    labels = {(r.event_id, tuple(r.label)) for r in found}
+    assert all((r.event_id, tuple(r.parent)) in labels if r.label else r.parent is None and r.schema_path == "$" for r in found)
+
+
+def test_every_table_is_reported(spark, tmp_path):
+    body = {"type": "assistant", "message": {"tags": ["a", "b"], "usage": {}}, "modelUsage": {"m": {"costUSD": 1}}}
+    df = spark.createDataFrame([(1, "claude", json.dumps(body)), (1, "claude", json.dumps(body)), (2, "codex", "{}")], "event_id long, provider string, body string")
+    df.write.parquet(str(tmp_path / "provider_event.parquet"))
+    got = {r.schema_path: (r.n_rows, r.n_linked, r.fields) for r in training.p5_tables(spark, str(tmp_path)).collect()}
+    assert got == {"$": (1, 0, "type"), "message": (1, 1, "tags"), "message.tags[]": (2, 2, "[]"), "message.usage": (1, 1, ""), "modelUsage": (1, 1, ""), "modelUsage.m": (1, 1, "costUSD")}
