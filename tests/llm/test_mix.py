@@ -1,6 +1,10 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from lodestrata.llm import bpe, mix, queries
 from lodestrata.llm.mix import mix_sources, targets
+from lodestrata.shared import store
 
 DOCS = "doc_id long, source string, tokens long"
 MIX = "mix_id int, source string, weight double, max_repeats int, size_ratio double"
@@ -69,3 +73,17 @@ def test_empty(spark):
         chosen, report = mix_sources(d, m, "doc_id", "source", "tokens")
         assert chosen.count() == 0 and report.count() in (0, 1)
     assert targets(mix.limit(0), "mix_id", "source", "weight", "max_repeats", "size_ratio").count() == 0
+
+
+def test_no_stored_row_of_the_selection_grows_with_the_corpus(spark, tmp_path, monkeypatch):
+    stored = []
+    for module in (bpe, mix):
+        monkeypatch.setattr(module, "store", lambda df, label: (stored.append(store(df, label)), stored[-1])[1])
+    spark.createDataFrame([(i, f"text {i} of some", "a" if i % 3 else "b") for i in range(600)], "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "m", 0.5, "a", 1.0, 2), (1, "m", 0.5, "b", 1.0, 2)], "mix_id int, mix_name string, size_ratio double, source string, weight double, max_repeats int").write.parquet(str(tmp_path / "mix_target.parquet"))
+    chosen = queries.p7_selection(spark, str(tmp_path)).collect()
+    assert {r.source for r in chosen} == {"a", "b"}
+    for table, _ in stored:
+        kinds = dict(table.dtypes)
+        assert not [k for k in kinds.values() if k.startswith("array<array")]
+        assert all(r[0] <= 20 for c, k in kinds.items() if k.startswith("array") for r in table.select(F.max(F.size(c))).collect())
