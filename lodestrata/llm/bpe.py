@@ -42,6 +42,9 @@ ship(__name__)
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Positions whose pairs are looked up at once, and the bits of a position in a number that holds a rank before it.
+SPAN, PLACE = 1 << 18, 40
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in the vocabulary.
@@ -65,7 +68,7 @@ class Merges:
             model = json.load(f)["model"]
         vocab = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.byte_ids = np.array([vocab[s] for s in byte_symbols()], np.int64)
+        self.byte_ids = np.array([vocab[s] for s in byte_symbols()], np.int32)
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
         self.left, self.right = left, right
@@ -76,23 +79,31 @@ class Merges:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, -1 where there is none."""
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.by_key[at], -1)
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and where each word begins (with the end)."""
         sizes = np.fromiter((len(w) for w in words), np.int64, len(words))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
+        return self.replay_flat(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum(sizes)]))
+
+    def replay_flat(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``replay`` of words whose bytes lie end to end, given where each begins (with the end).
+
+        A worker's memory is mostly what a byte takes here: 13 bytes for its
+        token, links and mark, and while the first pairs are indexed 16 more.
+        """
         total = int(starts[-1])
-        token = np.empty(total + 1, np.int64)
-        token[:total] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        kind = np.int32 if total < 2**31 - 1 else np.int64
+        token = np.empty(total + 1, np.int32)
+        token[:total] = self.byte_ids[text]
         token[total] = -1
         # Links to the neighbours in a word; position `total` stands for none.
-        ahead = np.arange(1, total + 2)
+        ahead = np.arange(1, total + 2, dtype=kind)
         ahead[np.maximum(starts[1:] - 1, 0)] = total
         ahead[total] = total
-        back = np.arange(-1, total)
+        back = np.arange(-1, total, dtype=kind)
         back[starts[:-1]] = total
         back[back < 0] = total
         alive = np.ones(total + 1, bool)
@@ -100,18 +111,21 @@ class Merges:
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
 
-        def enter(at: np.ndarray) -> None:
-            """Index the pairs that begin at these positions."""
+        def ranked(at: np.ndarray) -> np.ndarray:
+            """The pairs that begin at these positions and merge: rank and position in one number."""
             at = at[ahead[at] != total]
-            if not len(at):
-                return
             rank = self.ranks(token[at], token[ahead[at]])
             good = rank >= 0
-            at, rank = at[good], rank[good]
-            if not len(at):
+            return rank[good] << PLACE | at[good]
+
+        def enter(pairs: np.ndarray) -> None:
+            """Index pairs by rank; their numbers are used up."""
+            if not len(pairs):
                 return
-            order = np.argsort(rank, kind="stable")
-            at, rank = at[order], rank[order]
+            pairs.sort()
+            rank = (pairs >> PLACE).astype(np.int32)
+            pairs &= (1 << PLACE) - 1
+            at = pairs.astype(kind)
             cuts = np.flatnonzero(np.diff(rank)) + 1
             for r, part in zip(rank[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts)):
                 if r in index:
@@ -120,7 +134,7 @@ class Merges:
                     index[r] = [part]
                     heapq.heappush(queue, r)
 
-        enter(np.arange(total))
+        enter(np.concatenate([ranked(np.arange(i, min(i + SPAN, total), dtype=kind)) for i in range(0, total, SPAN)] or [np.empty(0, np.int64)]))
         while queue:
             r = heapq.heappop(queue)
             parts = index.pop(r)
@@ -144,9 +158,18 @@ class Merges:
             inner = after != total
             back[after[inner]] = at[inner]
             prior = back[at]
-            enter(np.unique(np.concatenate([at, prior[prior != total]])))
-        left = np.concatenate([[0], np.cumsum(alive[:total])])
-        return token[:total][alive[:total]].astype(np.int32), left[starts]
+            enter(ranked(np.unique(np.concatenate([at, prior[prior != total]]))))
+        left = np.zeros(total + 1, kind)
+        np.cumsum(alive[:total], dtype=kind, out=left[1:])
+        return token[:total][alive[:total]], left[starts].astype(np.int64)
+
+
+def flat_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of strings end to end and where each begins (with the end)."""
+    _, ends, text = words.buffers()
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    starts = np.frombuffer(ends, kind)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(text or b"", np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
 def number_words(texts: list[str | None], split) -> tuple[list[str], list[np.ndarray]]:
@@ -234,8 +257,8 @@ def encode_corpus(df: DataFrame, text: str, out: str = "ids", vocabulary: str =
 
         def give() -> pa.RecordBatch:
             words = pa.chunked_array(waiting).combine_chunks()
-            ids, starts = merges.replay([w.encode("utf-8") for w in words.to_pylist()])
             waiting.clear()
+            ids, starts = merges.replay_flat(*flat_words(words))
             made = pa.array(np.diff(starts), pa.int32()) if sizes_only else pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
             return pa.RecordBatch.from_arrays([words, made], ["word", "ids"])
 

@@ -1,5 +1,8 @@
 import os
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,3 +93,28 @@ def test_no_stored_row_holds_more_than_a_word_or_a_text(spark, known, monkeypatc
         lists = [c for c, kind in table.dtypes if kind.startswith("array")]
         assert not [kind for _, kind in table.dtypes if kind.startswith("array<array")]
         assert all(r[0] <= 20 for c in lists for r in table.select(F.max(F.size(c))).collect())
+
+
+def test_replay_holds_few_bytes_for_each_of_its_text(known):
+    words = [w.encode() for w in (" the", " repeated", "words", " of", "many", " texts", "ééé", "0101", "aaaaa")] * 40_000
+    total = sum(map(len, words))
+    merges = bpe.Merges(VOCABULARY)
+    tracemalloc.start()
+    try:
+        ids, starts = merges.replay(words)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 50 * total
+    assert ids.dtype == np.int32 and len(starts) == len(words) + 1
+    assert [ids[a:b].tolist() for a, b in zip(starts[:9], starts[1:10])] == [known.encode(w.decode(), add_special_tokens=False).ids for w in words[:9]]
+    assert (ids == np.tile(ids[: starts[9]], 40_000)).all()
+
+
+def test_bytes_of_arrow_words():
+    words = ["skipped", "", "é", " 中", "x" * 40, "last"]
+    for kind in (pa.string(), pa.large_string()):
+        text, starts = bpe.flat_words(pa.array(words, kind).slice(1, 4))
+        assert [text[a:b].tobytes().decode() for a, b in zip(starts, starts[1:])] == words[1:5]
+    text, starts = bpe.flat_words(pa.array([], pa.string()))
+    assert len(text) == 0 and starts.tolist() == [0]
